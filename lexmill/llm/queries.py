@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.llm import encoding
+from pyspark.sql import functions as F
+
+from lexmill.llm import encoding, lookalike
 from lexmill.llm.common import table
 
 
@@ -14,6 +16,25 @@ def p1_restored(spark, d):
     return encoding.garbled(table(spark, d, "corpus_resume"))
 
 
+def p6_found(spark, d):
+    """Records with stand-in characters; texts that are a case of problem 1 are none here."""
+    resumes = table(spark, d, "corpus_resume")
+    texts = lookalike.unified(resumes, "resume_id", "text", only_changed=True)
+    texts = texts.join(encoding.garbled(resumes).select("resume_id"), "resume_id", "left_anti")
+    aliases = lookalike.unified(table(spark, d, "extracted_skill"), "match_id", "matched_alias", only_changed=True)
+    return texts.select(F.lit("corpus_resume").alias("table_name"), F.col("resume_id").alias("record_id")).unionAll(
+        aliases.select(F.lit("extracted_skill"), F.col("match_id").cast("string"))
+    )
+
+
+def p6_texts(spark, d):
+    return lookalike.unified(table(spark, d, "corpus_resume"), "resume_id", "text")
+
+
+def p6_aliases(spark, d):
+    return lookalike.unified(table(spark, d, "extracted_skill"), "match_id", "matched_alias")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import encoding, lookalike
+from lexmill.llm import copies, encoding, lookalike, reading, tokens
 from lexmill.llm.common import table
 
 
@@ -16,6 +16,14 @@ def p1_restored(spark, d):
     return encoding.garbled(table(spark, d, "corpus_resume"))
 
 
+def p4_found(spark, d):
+    return copies.duplicates(table(spark, d, "corpus_resume"))
+
+
+def p4_records(spark, d):
+    return copies.records(table(spark, d, "corpus_resume"))
+
+
 def p6_found(spark, d):
     """Records with stand-in characters; texts that are a case of problem 1 are none here."""
     resumes = table(spark, d, "corpus_resume")
@@ -35,6 +43,18 @@ def p6_aliases(spark, d):
     return lookalike.unified(table(spark, d, "extracted_skill"), "match_id", "matched_alias")
 
 
+def p7_ids(spark, d):
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return reading.most_demanding(table(spark, d, "documents"), table(spark, d, "reading_sample"))
+
+
+def p9_levels(spark, d):
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_sample"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 

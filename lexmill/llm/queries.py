@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import copies, encoding, lookalike, reading, tokens
+from lexmill.llm import copies, encoding, leakage, lookalike, mapping, reading, tokens
 from lexmill.llm.common import table
 
 
@@ -24,6 +24,18 @@ def p4_records(spark, d):
     return copies.records(table(spark, d, "corpus_resume"))
 
 
+def p5_found(spark, d):
+    return mapping.mapped(table(spark, d, "proposal"), table(spark, d, "skill"), table(spark, d, "skill_alias"))
+
+
+def p5_misses(spark, d):
+    """The typed names that no entry of the list is near to, with the number of their proposals."""
+    missed = p5_found(spark, d).where("skill_id = 'NONE'").select("proposal_id")
+    typed = F.lower(F.trim(F.coalesce("suggested_name", "quoted_phrase")))
+    rows = table(spark, d, "proposal").join(missed, "proposal_id").groupBy(typed.alias("typed"))
+    return rows.agg(F.count("*").alias("n"))
+
+
 def p6_found(spark, d):
     """Records with stand-in characters; texts that are a case of problem 1 are none here."""
     resumes = table(spark, d, "corpus_resume")
@@ -47,6 +59,14 @@ def p7_ids(spark, d):
     return tokens.encoded(table(spark, d, "documents"))
 
 
+def p8_leaks(spark, d):
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p8_found(spark, d):
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p9_found(spark, d):
     return reading.most_demanding(table(spark, d, "documents"), table(spark, d, "reading_sample"))
 

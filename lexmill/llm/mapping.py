@@ -79,6 +79,8 @@ def distance(a: str, b: str, most: float) -> float:
             if i and j and x == b[j - 1] and a[i - 1] == y:
                 v = min(v, older[j - 1] + 0.8)
             row.append(v)
+        if min(row) > most + 0.05 and (not before or min(before) > most + 0.05):
+            return most + 1
     return row[-1]
 
 

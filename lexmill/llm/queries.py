@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import copies, encoding, leakage, lookalike, mapping, reading, tokens
+from lexmill.llm import copies, encoding, leakage, lookalike, mapping, packing, personal, reading, tokens
 from lexmill.llm.common import table
 
 
@@ -16,6 +16,26 @@ def p1_restored(spark, d):
     return encoding.garbled(table(spark, d, "corpus_resume"))
 
 
+def p2_batches(spark, d):
+    return packing.batches(table(spark, d, "corpus_resume"), table(spark, d, "mining_budget"))
+
+
+def p2_found(spark, d):
+    return packing.split(p2_batches(spark, d))
+
+
+def p3_findings(spark, d):
+    return personal.findings(table(spark, d, "corpus_resume"))
+
+
+def p3_found(spark, d):
+    return p3_findings(spark, d).select("resume_id", "kind", "value").distinct()
+
+
+def p3_redacted(spark, d):
+    return personal.redacted(table(spark, d, "corpus_resume"))
+
+
 def p4_found(spark, d):
     return copies.duplicates(table(spark, d, "corpus_resume"))
 

@@ -1,49 +1,5 @@
-"""Helpers shared by the corpus operators: tables, durable intermediate results, size checks."""
+"""What the corpus operators share with the core: tables, durable results, size checks."""
 
-from __future__ import annotations
+from lexmill.runtime import shared_dir, table, take_bounded, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest side, in rows, that an operator sends to every executor; counted before it is sent.
-BROADCAST_ROWS = 200_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _own.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
-    return path.rstrip("/")
-
-
-_own: dict[str, str] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def take_bounded(df: DataFrame, limit: int, what: str) -> list:
-    """All rows of a table that must be small; fails, without dropping any, if it is not."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; it can't be sent to every executor")
-    return rows
-
-
-def hash_key(*cols) -> F.Column:
-    """A 128-bit key of columns as two longs; collisions are out of reach at any corpus size."""
-    joined = F.concat_ws("\x1f", *cols)
-    return F.substring(F.sha2(joined, 256), 1, 32)
+__all__ = ["shared_dir", "table", "take_bounded", "written"]

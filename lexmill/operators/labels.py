@@ -33,7 +33,7 @@ def violations(labels: DataFrame, skills: DataFrame, roles: DataFrame, version:
         "set": ~F.coalesce(c("set").isin(*SETS), F.lit(False)), "status": ~F.coalesce(c("status").isin(*STATUS), F.lit(False)),
         "format": ~F.coalesce(c("format").isin(*FORMATS), F.lit(False)),
         "file_sha256": ~F.coalesce(c("file_sha256").rlike(SHA), F.lit(False)),
-        "labelled_at": F.try_to_date("labelled_at", F.lit("yyyy-MM-dd")).isNull(),
+        "labelled_at": F.try_to_date("labelled_at", "yyyy-MM-dd").isNull(),
     }
     parts = [part(labels.where(cond), "V12", F.lit(name)) for name, cond in bad.items()]
     good = labels.where(~reduce(lambda a, b: a | b, bad.values()))

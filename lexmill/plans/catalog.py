@@ -199,15 +199,12 @@ def _resumes(s, d):
     return table(s, d, "corpus_resume")
 
 
-TOKENS = f"""tok AS (SELECT resume_id, generate_subscripts(t, 1) AS i, unnest(t) AS x FROM
+TOKENS = f"""tok AS MATERIALIZED (SELECT resume_id, unnest(range(len(t))) AS i, unnest(t) AS x FROM
 (SELECT resume_id, list_transform(regexp_extract_all(text, '{TOK}'), lambda x: lower(x)) AS t FROM corpus_resume WHERE text IS NOT NULL)),
-al AS (SELECT skill_id, alias, array_to_string(list_transform(regexp_extract_all(lower(alias), '{TOK}'), lambda x: lower(x)), ' ') AS phrase FROM skill_alias),
-run AS (SELECT resume_id, i, 1 AS n, x AS phrase FROM tok UNION ALL
- SELECT a.resume_id, a.i, 2, a.x || ' ' || b.x FROM tok a JOIN tok b ON b.resume_id = a.resume_id AND b.i = a.i + 1 UNION ALL
- SELECT a.resume_id, a.i, 3, a.x || ' ' || b.x || ' ' || c.x FROM tok a JOIN tok b ON b.resume_id = a.resume_id AND b.i = a.i + 1
-  JOIN tok c ON c.resume_id = a.resume_id AND c.i = a.i + 2 UNION ALL
- SELECT a.resume_id, a.i, 4, a.x || ' ' || b.x || ' ' || c.x || ' ' || e.x FROM tok a JOIN tok b ON b.resume_id = a.resume_id AND b.i = a.i + 1
-  JOIN tok c ON c.resume_id = a.resume_id AND c.i = a.i + 2 JOIN tok e ON e.resume_id = a.resume_id AND e.i = a.i + 3)"""
+al AS MATERIALIZED (SELECT skill_id, alias, array_to_string(list_transform(regexp_extract_all(lower(alias), '{TOK}'), lambda x: lower(x)), ' ') AS phrase FROM skill_alias),
+four AS MATERIALIZED (SELECT resume_id, i, x, lead(x, 1) OVER w AS y, lead(x, 2) OVER w AS z, lead(x, 3) OVER w AS q FROM tok WINDOW w AS (PARTITION BY resume_id ORDER BY i)),
+run AS (SELECT resume_id, i, 1 AS n, x AS phrase FROM four UNION ALL SELECT resume_id, i, 2, x || ' ' || y FROM four UNION ALL
+ SELECT resume_id, i, 3, x || ' ' || y || ' ' || z FROM four UNION ALL SELECT resume_id, i, 4, x || ' ' || y || ' ' || z || ' ' || q FROM four)"""
 
 
 @query(f"SELECT resume_id, CAST(len(regexp_extract_all(text, '{TOK}')) AS INT) AS n_tokens FROM corpus_resume WHERE text IS NOT NULL")
@@ -280,14 +277,14 @@ def vec_cosine_top1(s, d):
     return _nearest(s, d).withColumn("score", F.round("score", 6))
 
 
-@query(VEC + " SELECT vec_id, label FROM top WHERE score > 0.5")
+@query(VEC + " SELECT vec_id, label FROM top WHERE score > 0.2")
 def vec_threshold(s, d):
-    return similarity.above(_nearest(s, d)).select("vec_id", "label")
+    return similarity.above(_nearest(s, d), 0.2).select("vec_id", "label")
 
 
-@query(VEC + " SELECT DISTINCT label FROM top WHERE score > 0.5")
+@query(VEC + " SELECT DISTINCT label FROM top WHERE score > 0.2")
 def vec_found(s, d):
-    return similarity.above(_nearest(s, d)).select("label").distinct()
+    return similarity.above(_nearest(s, d), 0.2).select("label").distinct()
 
 
 # --- Contact data -------------------------------------------------------------------------

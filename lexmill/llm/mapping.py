@@ -64,22 +64,43 @@ def distance(a: str, b: str, most: float) -> float:
         return 0.0
     if abs(len(a) - len(b)) > most + 1:
         return most + 1
+    # What both begin and end with costs nothing; one letter is kept on the left for doubled ones.
+    p, n = 0, min(len(a), len(b))
+    while p < n and a[p] == b[p]:
+        p += 1
+    q = 0
+    while q < n - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    p = max(0, p - 1)
+    a, b = a[p : len(a) - q], b[p : len(b) - q]
+    if len(a) > 2 * most + 3 and len({*a} & {*b}) < min(len({*a}), len({*b})) - most:
+        return most + 1
+    band = int(most) + 2  # a path beside it has more insertions or deletions than are allowed
+    far = most + 9.0
     before: list[float] = []
-    row = [0.0]
-    for j in range(len(b)):
-        row.append(row[-1] + 1)
+    row = [min(float(j), far) for j in range(len(b) + 1)]
     for i, x in enumerate(a):
         older, before = before, row
         twice = 0.6 if i and a[i - 1] == x else 0.9
-        row = [before[0] + 1]
-        for j, y in enumerate(b):
-            swap = 0.0 if x == y else 0.8 if x in VOWELS and y in VOWELS else 1.0
-            lost = 0.6 if j and b[j - 1] == y else 0.9
-            v = min(before[j] + swap, before[j + 1] + twice, row[j] + lost)
+        row = [far] * (len(b) + 1)
+        if i < band:
+            row[0] = before[0] + 1
+        best = row[0]
+        for j in range(max(0, i - band), min(len(b), i + band + 1)):
+            y = b[j]
+            v = before[j] + (0.0 if x == y else 0.8 if x in VOWELS and y in VOWELS else 1.0)
+            w = before[j + 1] + twice
+            if w < v:
+                v = w
+            w = row[j] + (0.6 if j and b[j - 1] == y else 0.9)
+            if w < v:
+                v = w
             if i and j and x == b[j - 1] and a[i - 1] == y:
                 v = min(v, older[j - 1] + 0.8)
-            row.append(v)
-        if min(row) > most + 0.05 and (not before or min(before) > most + 0.05):
+            row[j + 1] = v
+            if v < best:
+                best = v
+        if best > most + 0.85:
             return most + 1
     return row[-1]
 
@@ -92,6 +113,7 @@ class Names:
     entries: dict[str, str]  # canonical id in lower case -> id
     weight: dict[str, float]
     words: dict[str, list[tuple[str, str]]] = field(default_factory=dict)  # initials -> [(words, entry)]
+    exact: dict[str, list[str]] = field(default_factory=dict)  # joined words -> entries
     whole: list[tuple[str, str]] = field(default_factory=list)  # longest first, for words run together
     memo: dict = field(default_factory=dict)
 
@@ -99,6 +121,7 @@ class Names:
     def make(cls, listed: list[tuple[str, str]], counts: dict[str, int]) -> Names:
         forms: dict[str, set] = defaultdict(set)
         cut: dict[str, set] = defaultdict(set)
+        exact: dict[str, set] = defaultdict(set)
         for text, entry in listed:
             words = [w.rstrip(".") for w in parts(text)]
             if not words:
@@ -113,6 +136,7 @@ class Names:
                 orders |= {tuple(words[i:] + words[:i]) for i in range(1, len(words))}
             for order in orders:
                 form = "".join(order)
+                exact[form].add(entry)
                 for d in deletes(form[:PREFIX], bound(len(form))):
                     forms[d].add((form, entry))
             for order in orders:
@@ -123,7 +147,7 @@ class Names:
         whole = sorted({("".join(w.rstrip(".") for w in parts(t)), e) for t, e in listed}, key=lambda x: (-len(x[0]), x))
         return cls({k: sorted(v) for k, v in forms.items()}, {e.lower(): e for _, e in listed},
                    {e: counts.get(e, 0) / total for _, e in listed}, {k: sorted(v) for k, v in cut.items()},
-                   [x for x in whole if len(x[0]) > 7])
+                   {k: sorted(v) for k, v in exact.items()}, [x for x in whole if len(x[0]) > 7])
 
     def near(self, form: str) -> list[tuple[float, str, str]]:
         """(cost, entry, listed form) of the entries within the bound of the joined words."""
@@ -168,23 +192,39 @@ class Names:
 
     def find(self, value: str) -> tuple[str | None, float]:
         """(entry, quality) of the best reading of a typed value; (None, 0) if none is near."""
-        words = parts(value)[:40]
-        best: tuple = ()
+        words = parts(value)
+        bare = [w.rstrip(".") for w in words]
+        runs = []
         for i in range(len(words)):
-            for j in range(i + 1, min(len(words), i + 6) + 1):
-                run = words[i:j]
-                form = "".join(w.rstrip(".") for w in run)
-                found = self.near(form)
-                if form[-1:] == "s" and len(form) > 4:
-                    found += [(c + 0.1, e, f) for c, e, f in self.near(form[:-1])]
-                    if form[-2:] == "ss":
-                        found += [(c + 0.2, e, f) for c, e, f in self.near(form[:-2])]
-                if any(w.endswith(".") for w in run):
-                    found += self.shortened(run)
-                for cost, entry, listed in found:
-                    rank = (len(listed) - 2.5 * cost, -cost, self.weight[entry], entry)
-                    if not best or rank > best[0]:
-                        best = (rank, entry)
+            form = ""
+            for j in range(i, min(len(words), i + 6)):
+                form += bare[j]
+                runs.append((len(form), i, j + 1, form))
+        best: tuple = ()
+
+        def offer(cost: float, entry: str, listed: str) -> None:
+            nonlocal best
+            rank = (len(listed) - 2.5 * cost, -cost, self.weight[entry], entry)
+            if not best or rank > best[0]:
+                best = (rank, entry)
+
+        for _, _, _, form in runs:
+            for entry in self.exact.get(form, ()):
+                offer(0.0, entry, form)
+        runs.sort(key=lambda r: (-r[0], r[1]))
+        for n, i, j, form in runs:
+            if best and n + 2 < best[0][0]:  # no shorter run can explain more
+                break
+            if form not in self.exact:
+                for hit in self.near(form):
+                    offer(*hit)
+            if form[-1:] == "s" and n > 4:
+                for cut, extra in ((1, 0.1), (2, 0.2)) if form[-2:] == "ss" else ((1, 0.1),):
+                    for cost, entry, listed in self.near(form[:-cut]):
+                        offer(cost + extra, entry, listed)
+            if any(w[-1] == "." for w in words[i:j]):
+                for hit in self.shortened(words[i:j]):
+                    offer(*hit)
         if best:
             return best[1], best[0][0]
         joined = "".join(w.rstrip(".") for w in words)
@@ -252,5 +292,9 @@ def mapped(proposals: DataFrame, skills: DataFrame, aliases: DataFrame) -> DataF
         F.col("proposal_id").alias("k"), F.col("skill_id").alias("s"),
         F.col("quoted_phrase").alias("q"), F.col("suggested_name").alias("n"),
     )
+    # Typed values are short and the lookup is long: every core gets its share, equal values together.
+    spark = proposals.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(n, F.xxhash64("s", "q", "n") % 1_000_003)
     kind = dict(proposals.dtypes)["proposal_id"]
     return rows.mapInPandas(run, f"k {kind}, skill_id string").withColumnRenamed("k", "proposal_id")

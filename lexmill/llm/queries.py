@@ -99,5 +99,17 @@ def queries():
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+_HEAD = r"(?i)(?:^|\n)[ \t]*(?:##|==)?[ \t]*(" + "|".join(copies.HEADINGS) + r")[ \t]*(?:==[ \t]*(?:\n|$)|:|\n|$)"
+_COPIES = rf"""WITH c AS (SELECT resume_id, translate(lower(regexp_replace(coalesce(category, ''), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')), 'ς', 'σ') || chr(30) ||
+ array_to_string(list_sort(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[\r\n|]', chr(10) || chr(10), 'g'), '{_HEAD}', chr(30) || '\1' || chr(31), 'g'), chr(30)),
+ lambda f: translate(lower(regexp_replace(f, '[^\p{{L}}\p{{N}}\p{{M}}\x1f]', '', 'g')), 'ς', 'σ')), lambda f: f <> '')), chr(30)) AS canon
+ FROM corpus_resume WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]')),
+g AS (SELECT resume_id, min(resume_id) OVER (PARTITION BY canon) AS keep_id FROM c)"""
+
+
 def oracle_sql():
-    return {}
+    return {
+        "p2_found": "SELECT model, resume_id FROM corpus_resume CROSS JOIN mining_budget WHERE length(text) > char_budget",
+        "p4_found": _COPIES + " SELECT keep_id, resume_id AS dup_id FROM g WHERE resume_id <> keep_id",
+        "p4_records": _COPIES + " SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
+    }

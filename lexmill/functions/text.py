@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 MATCH = "array<struct<start:int,end:int,kind:string,value:string>>"
 # What ends a line, and what is trimmed from it.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 #: A token: an address or link, a word with inner full stops or signs, or any other single sign;
 #: a line end and a run of blanks are tokens too, so no phrase goes across them.

@@ -37,7 +37,7 @@ def matches(text: Column, pattern: str, kind: str | Column) -> Column:
         )
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
-    return F.when(F.size(values) > 0, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(MATCH))
+    return F.when(text.rlike(pattern) if isinstance(pattern, str) else F.size(values) > 0, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(MATCH))
 
 
 def first_come(found: Column) -> Column:

@@ -46,6 +46,11 @@ def found(text: Column, name_pattern: Column | None = None) -> Column:
     return F.when(text.isNotNull(), first_come(F.concat(*parts)))
 
 
+def once(value: Column) -> Column:
+    """The value as a generated column: later projections read it and do not compute it again."""
+    return F.explode(F.array(value))
+
+
 def name_pattern(names: Column) -> Column:
     """The pattern of an array of names: each name and each of its words, longest first, whole words."""
     flat = lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")
@@ -58,10 +63,10 @@ def name_pattern(names: Column) -> Column:
 def scan(docs: DataFrame, names: DataFrame | None = None, key: str = "resume_id", text: str = "text") -> DataFrame:
     """``docs`` with an array column ``found``; ``names`` gives (key, name) rows that hold for their own text."""
     if names is None:
-        return docs.withColumn("found", found(F.col(text)))
+        return docs.withColumn("found", once(found(F.col(text))))
     own = names.where("name is not null").groupBy(key).agg(name_pattern(F.collect_set("name")).alias("__names"))
     joined = docs.join(own, key, "left")
-    return joined.withColumn("found", found(F.col(text), F.col("__names"))).drop("__names")
+    return joined.withColumn("found", once(found(F.col(text), F.col("__names")))).drop("__names")
 
 
 def exploded(scanned: DataFrame, key: str = "resume_id") -> DataFrame:
@@ -87,7 +92,7 @@ def detail(scanned: DataFrame, key: str = "resume_id") -> DataFrame:
 
 def rescan_gate(scanned: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
     """(key, before, after, clean): what a second scan still finds in the redacted text."""
-    again = scanned.withColumn("__again", found(redact(F.col(text), F.col("found"))))
+    again = scanned.withColumn("__text", once(redact(F.col(text), F.col("found")))).withColumn("__again", once(found(F.col("__text"))))
     return again.select(key, F.size("found").alias("before"), F.size("__again").alias("after"),
                         (F.size("__again") == 0).alias("clean"))
 

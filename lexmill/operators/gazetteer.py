@@ -10,7 +10,6 @@ from lexmill.runtime import take_bounded
 
 #: Aliases that are sent to every executor; a longer list is joined by shuffle.
 ALIAS_ROWS = 100_000
-MOST_TOKENS = 4
 SPAN = "array<struct<first:int,n:int,alias:string,skill_id:string>>"
 
 
@@ -19,7 +18,7 @@ def phrases(aliases: DataFrame) -> DataFrame:
     t = aliases.where("alias is not null and skill_id is not null").select(
         "skill_id", "alias", F.transform(tokens(F.lower("alias")), F.lower).alias("t")
     )
-    return t.where(F.size("t").between(1, MOST_TOKENS)).select(
+    return t.where(F.size("t") > 0).select(
         F.array_join("t", " ").alias("phrase"), "skill_id", "alias", F.size("t").alias("n"), F.col("t")[0].alias("head")
     )
 
@@ -27,21 +26,21 @@ def phrases(aliases: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
     """(key, first, n, alias, skill_id) of every alias in every text, overlapping ones too.
 
-    Only runs of tokens that begin as an alias does are exploded; the join that follows is on the
-    phrase and broadcast while the list is small.
+    Only runs of tokens that begin as an alias does are exploded, in the lengths of the aliases that
+    begin so; the join that follows is on the phrase and broadcast while the list is small.
     """
     known = phrases(aliases)
+    lengths = known.select("head", "n").distinct()
     heads = [r.head for r in take_bounded(known.select("head").distinct(), ALIAS_ROWS, "the list of aliases")]
     toks = docs.where(F.col(text).isNotNull()).select(key, F.transform(tokens(F.col(text)), F.lower).alias("t"))
     starts = F.filter(
         F.transform("t", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].isin(heads)
     )
-    at = toks.select(key, "t", F.explode(starts).alias("s")).select(key, "t", F.col("s.i").alias("first"))
-    runs = at.select(
-        key, "first", F.explode(F.transform(F.sequence(F.lit(1), F.lit(MOST_TOKENS)), lambda n: F.struct(
-            n.alias("n"), F.array_join(F.slice("t", F.col("first") + 1, n), " ").alias("phrase"),
-            (F.col("first") + n <= F.size("t")).alias("whole")))).alias("r"))
-    runs = runs.where("r.whole").select(key, "first", F.col("r.n").alias("n"), F.col("r.phrase").alias("phrase"))
+    at = toks.select(key, "t", F.explode(starts).alias("s"))
+    at = at.select(key, "t", F.col("s.i").alias("first"), F.col("s.x").alias("head")).join(F.broadcast(lengths), "head")
+    runs = at.where(F.col("first") + F.col("n") <= F.size("t")).select(
+        key, "first", "n", F.array_join(F.slice("t", F.col("first") + 1, F.col("n")), " ").alias("phrase")
+    )
     return runs.join(F.broadcast(known.drop("n", "head")), "phrase").select(key, "first", "n", "alias", "skill_id")
 
 

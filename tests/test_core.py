@@ -31,6 +31,14 @@ def test_gazetteer(spark, text, skills):
     assert {r.skill_id for r in gazetteer.skills(texts(spark, [text]), aliases).collect()} == skills
 
 
+def test_aliases_of_any_length(spark):
+    listed = [("post incident write-ups", "incident_review"), ("incident", "incident"), ("a b c d e f g", "seven"), ("b c d e f", "five"), ("ups", "ups")]
+    aliases = spark.createDataFrame(listed, "alias string, skill_id string")
+    docs = texts(spark, ["Post incident write-ups daily", "post incident write", "A b c d e f G", "z b c d e f", "write-ups"])
+    got = {(r.resume_id, r.first, r.n, r.skill_id) for r in gazetteer.spans(docs, aliases).collect()}
+    assert got == {("000", 0, 5, "incident_review"), ("001", 1, 1, "incident"), ("002", 0, 7, "seven"), ("003", 1, 5, "five"), ("004", 2, 1, "ups")}
+
+
 PII = [
     ("Contact: jane.doe@shop.example.com for", ["email"]), ("Mobile: 9876543210 or 98765 43210", ["phone", "phone"]), ("Office: (415) 555-2671", ["phone"]),
     ("linkedin.com/in/janedoe-123", ["linkedin"]), ("https://github.com/janedoe", ["github"]), ("https://janedoe.dev/portfolio", ["url"]),

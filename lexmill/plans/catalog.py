@@ -68,8 +68,7 @@ def tax_alias_owner(s, d):
 WHERE skill_id NOT IN (SELECT skill_id FROM proposal WHERE skill_id IS NOT NULL AND model = 'heron-large' AND batch_index = 0)
 GROUP BY family""")
 def tax_orphans(s, d):
-    used = table(s, d, "proposal").where("model = 'heron-large' and batch_index = 0 and skill_id is not null")
-    return taxonomy.orphans(_skills(s, d), used)
+    return taxonomy.orphans(_skills(s, d), _roles(s, d))
 
 
 @query(f"""WITH {ROLES} SELECT role_id, CAST(sum(CASE WHEN bucket = 'core' THEN 1 ELSE 0 END) AS BIGINT) AS n_core,

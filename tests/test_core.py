@@ -123,6 +123,19 @@ def test_scoring_gate_and_cap(spark):
     assert {r.skill_id: r.weight for r in taxonomy.merged_weights(df.where("role_id = 'low'")).collect()} == {"a": 3, "b": 2, "c": 1}
 
 
+def test_orphans_are_in_no_role(spark, tmp_path):
+    from lexmill.plans import catalog
+
+    skills = [("a", "A", "one", None), ("b", "B", "one", None), ("d", "D", None, None), ("c", "C", None, None)]
+    df = spark.createDataFrame(skills, "skill_id string, display_name string, family string, description string")
+    df.write.parquet(f"{tmp_path}/skill.parquet")
+    named = spark.createDataFrame([("c", "heron-large", 0), ("a", "owl-mini-4", 1)], "skill_id string, model string, batch_index int")
+    named.write.parquet(f"{tmp_path}/proposal.parquet")
+    assert [tuple(r) for r in catalog.tax_orphans(spark, str(tmp_path)).collect()] == [(None, 2, "c, d")]
+    roles = taxonomy.family_roles(df).where("skill_id <> 'b'")
+    assert {tuple(r) for r in taxonomy.orphans(df, roles).collect()} == {(None, 2, "c, d"), ("one", 1, "b")}
+
+
 def test_agreement_guards_zero(spark):
     none = spark.createDataFrame([], "file string, skill_id string")
     one = spark.createDataFrame([("f", "s")], "file string, skill_id string")

@@ -14,12 +14,14 @@ ITEMS = f"array<{ITEM}>"
 REQUIRED = ("resume_id", "skill_id", "quoted_phrase")
 
 
-def checked(replies: DataFrame, skills: DataFrame, key: str = "batch_index") -> DataFrame:
+def checked(replies: DataFrame, skills: DataFrame, *key: str) -> DataFrame:
     """(key, error, items): the first failed check of each reply, in order, or its items.
 
     Order: cut off by length, empty, no JSON, no list, an item without a required key, an id
-    outside the list and ``NEW``. One bad item fails the whole reply; ``[]`` is valid.
+    outside the list and ``NEW``. One bad item fails the whole reply; ``[]`` is valid. A reply's key
+    is ``batch_index`` unless other columns are named.
     """
+    key = key or ("batch_index",)
     known = F.broadcast(skills.select(F.col("skill_id").alias("own")).distinct().agg(F.collect_set("own").alias("own")))
     kind = F.get_json_object("content", "$")
     body = F.trim("content")
@@ -39,16 +41,16 @@ def checked(replies: DataFrame, skills: DataFrame, key: str = "batch_index") ->
     named = F.transform(parsed, lambda x: F.struct(
         x["resume_id"].alias("resume_id"), x["skill_id"].alias("skill_id"), x["quoted_phrase"].alias("quoted_phrase"),
         F.when(x["skill_id"] == "NEW", x["suggested_name"]).alias("suggested_name")))
-    return replies.join(known).select(key, error.alias("error"), F.when(error.isNull(), named).alias("items"))
+    return replies.join(known).select(*key, error.alias("error"), F.when(error.isNull(), named).alias("items"))
 
 
 def proposals(done: DataFrame, model: str, key: str = "batch_index") -> DataFrame:
     return done.select(key, F.explode("items").alias("p")).select("p.*", F.lit(model).alias("model"), key)
 
 
-def manifest(done: DataFrame) -> DataFrame:
-    """One row about a run, also where every batch failed."""
-    return done.agg(
+def manifest(done: DataFrame, *by: str) -> DataFrame:
+    """One row about a run (each run, where ``by`` tells them apart), also where every batch failed."""
+    return done.groupBy(*by).agg(
         F.count("*").alias("n_batches"), F.count(F.when(F.col("error").isNull(), 1)).alias("n_ok"),
         F.count("error").alias("n_failed"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n_proposals"),
     )

@@ -612,14 +612,14 @@ def ground_report(s, d):
 
 # --- Replies and runs ---------------------------------------------------------------------
 def _replies(s, d):
-    """Replies of a pretended model: the proposals of each container as JSON, some of them damaged."""
-    p = table(s, d, "proposal").where("batch_index is not null and model = 'owl-mini-4'")
+    """Replies of pretended models: the proposals of each model and container as JSON, some of them damaged."""
+    p = table(s, d, "proposal").where("batch_index is not null")
     item = F.struct("resume_id", F.coalesce("skill_id", F.lit("NEW")).alias("skill_id"), F.coalesce("quoted_phrase", F.lit("")).alias("quoted_phrase"), "suggested_name")
-    body = p.groupBy("batch_index").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("proposal_id"), item.alias("i"))))).alias("j"), F.count("*").alias("n"))
+    body = p.groupBy("model", "batch_index").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("proposal_id"), item.alias("i"))))).alias("j"), F.count("*").alias("n"))
     k = F.col("batch_index")
     listed = F.to_json(F.transform(F.from_json("j", "array<struct<proposal_id:long,i:" + responses.ITEM + ">>"), lambda x: x["i"]))
     content = F.when(k % 5 == 1, F.lit("no json")).when(k % 5 == 2, F.lit('{"a": 1}')).when(k % 5 == 3, F.lit("")).when(k % 7 == 4, F.lit("[]")).otherwise(listed)
-    return body.select("batch_index", content.alias("content"), F.when(k % 11 == 6, "length").otherwise("stop").alias("done_reason"), "n")
+    return body.select("model", "batch_index", content.alias("content"), F.when(k % 11 == 6, "length").otherwise("stop").alias("done_reason"), "n")
 
 
 @query("""WITH p AS (SELECT batch_index AS k, count(*) AS n, count(*) FILTER (WHERE coalesce(skill_id, 'NEW') <> 'NEW' AND coalesce(skill_id, 'NEW') NOT IN (SELECT skill_id FROM skill)) AS bad
@@ -627,7 +627,7 @@ FROM proposal WHERE batch_index IS NOT NULL AND model = 'owl-mini-4' GROUP BY 1)
 SELECT CAST(k AS INT) AS batch_index, CASE WHEN k % 11 = 6 THEN 'length' WHEN k % 5 = 3 THEN 'empty' WHEN k % 5 = 1 THEN 'not_json' WHEN k % 5 = 2 THEN 'not_list'
  WHEN k % 7 = 4 THEN NULL WHEN bad > 0 THEN 'unknown_id' END AS error FROM p""")
 def llm_response_checks(s, d):
-    return responses.checked(_replies(s, d), _skills(s, d)).select("batch_index", "error")
+    return responses.checked(_replies(s, d), _skills(s, d), "model", "batch_index").select("model", "batch_index", "error")
 
 
 @query("""SELECT DISTINCT skill_id FROM proposal WHERE skill_id IS NOT NULL AND skill_id <> 'NEW' AND skill_id NOT IN (SELECT skill_id FROM skill)""")
@@ -656,7 +656,7 @@ q AS (SELECT *, (k % 11 <> 6 AND k % 5 NOT IN (1, 2, 3) AND (k % 7 = 4 OR bad =
 SELECT count(*) AS n_batches, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_failed,
 CAST(coalesce(sum(CASE WHEN ok AND k % 7 <> 4 THEN n ELSE 0 END), 0) AS BIGINT) AS n_proposals FROM q""")
 def mining_manifest(s, d):
-    return responses.manifest(responses.checked(_replies(s, d), _skills(s, d)))
+    return responses.manifest(responses.checked(_replies(s, d), _skills(s, d), "model", "batch_index"), "model")
 
 
 # --- Intake -------------------------------------------------------------------------------

@@ -159,6 +159,20 @@ def test_reply_checks(spark, content, reason, error):
     assert responses.manifest(done).first().n_failed == int(error is not None)
 
 
+def test_replies_of_every_model(spark, tmp_path):
+    from lexmill.plans import catalog
+
+    spark.createDataFrame([("known",)], "skill_id string").write.parquet(f"{tmp_path}/skill.parquet")
+    rows = [("m1", 0, "known"), ("m1", 5, None), ("m2", 0, "other"), ("m2", 0, "known"), ("m2", 1, "known"), ("m3", None, "other"), (None, 0, "NEW")]
+    df = spark.createDataFrame([(i, f"r{i}", *r, "q", None) for i, r in enumerate(rows)],
+                               "proposal_id long, resume_id string, model string, batch_index int, skill_id string, quoted_phrase string, suggested_name string")
+    df.write.parquet(f"{tmp_path}/proposal.parquet")
+    got = {tuple(r) for r in catalog.llm_response_checks(spark, str(tmp_path)).collect()}
+    assert got == {("m1", 0, None), ("m1", 5, None), ("m2", 0, "unknown_id"), ("m2", 1, "not_json"), (None, 0, None)}
+    runs_ = {tuple(r) for r in catalog.mining_manifest(spark, str(tmp_path)).collect()}
+    assert runs_ == {("m1", 2, 2, 0, 2), ("m2", 2, 0, 2, 0), (None, 1, 1, 0, 1)}
+
+
 def test_model_failures_are_recorded(spark):
     def client(prompt):
         if prompt == "bad":

@@ -105,8 +105,14 @@ class Items:
         all_owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         pairs = np.unique(np.stack([all_keys, all_owners]), axis=1)
         self.sorted_keys, self.owners = pairs[0], pairs[1]
-        # A stretch with the fewest words and the most wrong ones still has a run of this length.
-        self.least_run = max(2, rule.stretch // (int(rule.wrong * rule.stretch) + 2))
+        # Of a leak's stretches one has no more wrong words than its own length allows: w wrong words
+        # leave w + 1 runs at most, so one of its runs has this length.
+        longest = max([rule.stretch, *map(len, self.items.values())])
+        allowed = [(n, int(rule.wrong * n + 1e-9)) for n in range(rule.stretch, longest + 1)]
+        least_run = max(1, min(-(-(n - w) // (w + 1)) for n, w in allowed))
+        # Two stretches with w wrong words are w + 2 runs at most, so these many of their words stand in runs of m or more.
+        whole = [(n, int(rule.wrong * n + 1e-9)) for n in range(rule.least, max(longest, rule.least) + 1)]
+        self.in_runs = {m: min(n - w - (m - 1) * (w + 1) for n, w in whole) for m in range(1, least_run + 1)}
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self.sorted_keys & (1 << 20) - 1] = True
 
@@ -148,66 +154,113 @@ class Items:
 
         ``around``: word positions of the document near which windows met.
         """
-        passage = self.items[item]
+        r, passage = self.rule, self.items[item]
+        if len(passage) < r.least:
+            return 0, 0
         reach = len(passage) + len(passage) // 4 + 8
-        best: tuple[int, int] = (0, 0)
-        lo = None
-        regions = []
+        regions: list[list[int]] = []
         for a in around:
-            if lo is None or a - reach > hi:
-                if lo is not None:
-                    regions.append((lo, hi))
-                lo = max(0, a - reach)
-            hi = min(len(doc), a + reach + self.rule.window)
-        regions.append((lo, hi))
-        found = [s for lo, hi in regions for s in self.stretches(doc[lo:hi], passage, lo)]
-        for i, (d0, d1, p0, p1, wrong) in enumerate(found):
-            options = [(p1 - p0, wrong)]
-            options += [
-                (p1 - p0 + q1 - q0, wrong + w)
-                for e0, _, q0, q1, w in found[i + 1 :]
-                if e0 >= d1 and q0 >= p1
-            ]
-            for n, w in options:
-                if n >= self.rule.least and w <= self.rule.wrong * n:
-                    best = max(best, (n, w))
-        return best
-
-    def stretches(self, doc: np.ndarray, passage: np.ndarray, base: int) -> list[tuple[int, int, int, int, int]]:
-        """(document from, to, passage from, to, wrong words) of long stretches, by place in the document."""
+            lo, hi = max(0, a - reach), min(len(doc), a + reach + r.window)
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = hi
+            else:
+                regions.append([lo, hi])
+        parts = [(doc[lo:hi], lo) for lo, hi in regions]
+        if not self.may_leak([d for d, _ in parts], passage):
+            return 0, 0
+        ends = np.concatenate([self.ends(d, passage) + [lo, 0, 0, 0] for d, lo in parts])
+        return self.joined(ends, parts, passage)
+
+    def may_leak(self, docs: list[np.ndarray], passage: np.ndarray) -> bool:
+        """Whether as many words of the passage stand in runs as those of every leak do."""
+        same = [d[:, None] == passage[None, :] for d in docs]
+        runs = same
+        for m, need in self.in_runs.items():
+            if m > 1:
+                runs = [x[:-1, :-1] & y[m - 1 :, m - 1 :] for x, y in zip(runs, same)]
+            covered = np.zeros(len(passage), bool)
+            for x in runs:
+                starts = x.any(axis=0)
+                for i in range(m):
+                    covered[i : i + len(starts)] |= starts
+            if covered.sum() < max(1, need):
+                return False
+        return True
+
+    def joined(self, ends: np.ndarray, parts: list[tuple[np.ndarray, int]], passage: np.ndarray) -> tuple[int, int]:
+        """(words, wrong ones) of the best leak of one stretch, or of two in the same order.
+
+        What lies between two stretches is counted in neither.
+        """
         r = self.rule
-        same = (doc[:, None] == passage[None, :]) & (doc > 0)[:, None]
-        two = same[:-1, :-1] & same[1:, 1:]
-        head = two.copy()
-        head[1:, 1:] &= ~two[:-1, :-1]
-        runs = []
-        for d, p in zip(*(x.tolist() for x in np.nonzero(head))):
-            n = 2
-            while d + n < len(doc) and p + n < len(passage) and same[d + n, p + n]:
-                n += 1
-            runs.append((d, p, n))
-        if not runs or max(n for *_, n in runs) < self.least_run:
-            return []
-        chains: list[tuple[int, int, int, int, int, int]] = []  # matched, -wrong, d0, p0, d1, p1
-        for d, p, n in runs:
-            mine = (n, 0, d, p, d + n, p + n)
-            for c in reversed(chains):
-                gd, gp = d - c[4], p - c[5]
-                if gd > len(passage) + r.gap:
-                    break
-                if 0 <= gd <= r.gap and 0 <= gp <= r.gap:
-                    cost = max(gd, gp)
-                    option = (c[0] + n, c[1] - cost, c[2], c[3], d + n, p + n)
-                    if (option[0] + option[1], option[0]) > (mine[0] + mine[1], mine[0]):
-                        mine = option
-            chains.append(mine)
-        out: dict[tuple[int, int], tuple] = {}
-        for m, w, d0, p0, d1, p1 in chains:
-            if p1 - p0 >= r.stretch and -w <= max(1, r.wrong * (p1 - p0)) + 1:
-                old = out.get((d0, p0))
-                if old is None or m + w > old[0]:
-                    out[d0, p0] = (m + w, d0 + base, d1 + base, p0, p1, -w)
-        return sorted(x[1:] for x in out.values())
+        excess = ends[:, 3] - r.wrong * ends[:, 2]
+        best = (0, 0, 0)  # words less twice the wrong ones, words, wrong ones
+
+        def take(n: np.ndarray, w: np.ndarray) -> None:
+            nonlocal best
+            ok = (n >= r.least) & (w <= r.wrong * n + 1e-9)
+            if ok.any():
+                n, w = n[ok], w[ok]
+                i = np.lexsort((n, n - 2 * w))[-1]
+                best = max(best, (int(n[i] - 2 * w[i]), int(n[i]), int(w[i])))
+
+        take(ends[:, 2], ends[:, 3])
+        # The same search from behind gives the longest stretch from each place on.
+        back = np.concatenate([
+            [len(d) + lo, len(passage), 0, 0] + self.ends(d[::-1], passage[::-1]) * [-1, -1, 1, 1] for d, lo in parts
+        ])
+        lag = back[:, 3] - r.wrong * back[:, 2]
+        if not len(ends) or min(excess.min(), lag.min()) > 1e-9:
+            return best[1:]
+        # What the other's spare errors can't make good, and what adds no right words, is no second stretch.
+        first = ends[(excess <= 1e-9 - lag.min()) & (ends[:, 2] > 2 * ends[:, 3])]
+        second = back[(lag <= 1e-9 - excess.min()) & (back[:, 2] > 2 * back[:, 3])]
+        step = max(1, 1_000_000 // max(1, len(second)))
+        for at in range(0, len(first), step):
+            a = first[at : at + step]
+            i, j = np.nonzero((second[None, :, 0] >= a[:, None, 0]) & (second[None, :, 1] >= a[:, None, 1]))
+            take(a[i, 2] + second[j, 2], a[i, 3] + second[j, 3])
+        return best[1:]
+
+    def ends(self, doc: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """(document end, passage end, words, wrong words): for each place where a stretch ends and each
+        number of wrong words the longest stretch.
+
+        A stretch begins and ends with a right word; its wrong words are the word-level edit distance
+        between the two sides. The table holds the least passage start for w wrong words at passage
+        position p, at (w, p - w): there a missing word only moves along w, and one row of the
+        document is a few operations on whole arrays.
+        """
+        r = self.rule
+        size, most = len(passage), int(r.wrong * len(passage) + 1e-9)
+        none = np.int32(1 << 20)
+        # Column c of row w is passage position c + w - most - 1; position p counts the words used.
+        shape = (most + 1, size + most + 2)
+        same = np.zeros((len(doc), size + 2 * most + 3), bool)
+        same[:, most + 2 : most + 2 + size] = doc[:, None] == passage[None, :]
+        strides = np.lib.stride_tricks.as_strided
+        position = np.arange(shape[1])[None, :] + np.arange(most + 1)[:, None] - most - 1
+        begin = np.where(np.arange(most + 1)[:, None] == 0, position - 1, none).astype(np.int32)
+        beyond = position > size
+        old = np.full(shape, none, np.int32)
+        out = []
+        for d, row in enumerate(same):
+            hit = strides(row, shape, (1, 1))
+            right = np.full(shape, none, np.int32)
+            right[:, 1:] = old[:, :-1]
+            right = np.where(hit, np.minimum(right, begin), none)
+            new = right.copy()
+            if most:
+                np.minimum(new[1:], old[:-1], out=new[1:])  # a changed word
+                np.minimum(new[1:, :-1], old[:-1, 1:], out=new[1:, :-1])  # one word more in the document
+                np.minimum.accumulate(new, axis=0, out=new)  # missing words
+                new[beyond] = none
+            found = np.flatnonzero(position - right >= r.stretch)
+            if len(found):
+                w, p = found // shape[1], position.ravel()[found]
+                out.append(np.stack([np.full(len(found), d + 1), p, p - right.ravel()[found], w], axis=1))
+            old = new
+        return np.concatenate(out).astype(np.int64) if out else np.zeros((0, 4), np.int64)
 
 
 def blocks(items: DataFrame, key: str, text: str) -> Iterator[dict[int, str]]:

@@ -220,6 +220,53 @@ def test_window_search_recall_against_brute_force():
     assert hits >= 270
 
 
+@pytest.mark.parametrize("length,changed", [(30, (10, 12, 14)), (40, (12, 14, 26, 28))])
+def test_leaks_with_right_words_between_wrong_ones(length, changed):
+    words = [f"w{i}" for i in range(60)]
+    index = leakage.Items({1: " ".join(words)}, leakage.Rule())
+    doc = np.array([0 if i in changed else index.vocabulary[words[i]] for i in range(length)], dtype=np.int32)
+    n, wrong = index.leaks(doc, 1, [0, length // 2])  # one word between two stretches belongs to neither
+    assert n >= length - 1 and wrong in (len(changed) - 1, len(changed))
+
+
+def plain_leak(doc, passage, r):
+    """The best leak by the edit distance from every pair of starts, and by every two of those stretches."""
+    stretches = []
+    for d0, p0 in itertools.product(range(len(doc)), range(len(passage))):
+        if doc[d0] == passage[p0]:
+            old = list(range(len(passage) - p0 + 1))
+            for i in range(d0, len(doc)):
+                new = [i - d0 + 1]
+                for j in range(p0, len(passage)):
+                    new.append(min(old[j - p0] + (doc[i] != passage[j]), old[j - p0 + 1] + 1, new[-1] + 1))
+                    if doc[i] == passage[j] and j - p0 + 1 >= r.stretch and 2 * new[-1] < j - p0 + 1:
+                        stretches.append((d0, p0, i + 1, j + 1, new[-1]))
+                old = new
+    options = [(b[3] - b[1], b[4]) for b in stretches]
+    options += [(a[3] - a[1] + b[3] - b[1], a[4] + b[4]) for a in stretches for b in stretches if b[0] >= a[2] and b[1] >= a[3]]
+    return any(n >= r.least and w <= r.wrong * n for n, w in options)
+
+
+def test_leaks_are_those_of_brute_force_with_clustered_errors():
+    rng, rule, found = random.Random(8), leakage.Rule(), 0
+    for _ in range(60):
+        vocabulary = [f"w{i}" for i in range(rng.choice([15, 60]))]
+        item = [rng.choice(vocabulary) for _ in range(rng.randint(25, 36))]
+        part = item[rng.randint(0, 5) :][: rng.randint(22, 36)]
+        near = rng.randrange(len(part))
+        for _ in range(rng.randint(0, 5)):
+            at = min(len(part) - 1, max(0, near + rng.randint(-4, 4)))
+            part[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y"]])
+        if rng.random() < 0.4:
+            part[12:12] = ["z"] * rng.randint(1, 9)
+        index = leakage.Items({1: " ".join(item)}, rule)
+        doc = np.array([0, 0] + [index.vocabulary.get(w, 0) for w in part] + [0], dtype=np.int32)
+        want = plain_leak(doc.tolist(), index.items[1].tolist(), rule)
+        assert (index.leaks(doc, 1, [len(doc) // 2])[0] > 0) == want
+        found += want
+    assert 10 < found < 55
+
+
 def test_reading_levels(spark):
     easy, hard = "we like the sun and the hen", "notwithstanding epistemological incommensurability circumscribes legitimation"
     sample = spark.createDataFrame([(i, t, lv) for i, (t, lv) in enumerate([(easy, 1), (easy + " mop", 1), (hard, 5), (hard + " albeit", 5), (None, 3)])], "sample_id long, text string, reading_level int")

@@ -267,6 +267,47 @@ def test_leaks_are_those_of_brute_force_with_clustered_errors():
     assert 10 < found < 55
 
 
+def test_passages_do_not_depend_on_blocks(spark, monkeypatch):
+    """Shared sentences are counted over all items; a question inside a passage stays; copies of an item keep their text."""
+    rng = random.Random(11)
+    body = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(30)) + "."
+    texts = [f"Read this now. {body()} Was it so? {body()} What was it?" for _ in range(9)] + [None, ""]
+    texts += [texts[0], texts[0]]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {r.k: r.t for r in leakage.passages(items, "item_id", "text").collect()}
+    assert set(got) == {*range(9), 11, 12}
+    assert all("Read" not in t and "What" not in t and "Was it so?" in t for t in got.values())
+    docs = spark.createDataFrame([(i, f"x {got[i]} y") for i in range(9)], "doc_id long, text string")
+    whole = {tuple(r) for r in leakage.leaked(docs, items).collect()}
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 150)
+    assert {tuple(r) for r in leakage.leaked(docs, items).collect()} == whole
+    assert {r[:2] for r in whole} == {(i, i) for i in range(9)} | {(0, 11), (0, 12)}
+
+
+def test_leaks_end_to_end_against_brute_force():
+    """Whole search, windows included: of the pairs that brute force finds at least nine in ten, and no others."""
+    rng, rule = random.Random(9), leakage.Rule()
+    vocabulary = [f"w{i}" for i in range(90)]
+    texts = {k: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(25, 60))) for k in range(12)}
+    index = leakage.Items(texts, rule)
+    docs = []
+    for _ in range(60):
+        k = rng.randrange(12)
+        part = texts[k].split()[rng.randint(0, 8) :][: rng.randint(18, 50)]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randint(0, 1)] = rng.choice([[], ["x"], [rng.choice(vocabulary)]])
+        if rng.random() < 0.4:
+            part[14:14] = [rng.choice(vocabulary) for _ in range(rng.randint(1, 20))]
+        docs.append(" ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 20))] + part + ["end"]))
+    got = {(d, k) for d, k, *_ in leakage._leaks_of(index, list(range(len(docs))), docs)}
+    want = set()
+    for d, text in enumerate(docs):
+        ids = [index.vocabulary.get(w, 0) for w in text.split()]
+        want |= {(d, k) for k, p in index.items.items() if plain_leak(ids, p.tolist(), rule)}
+    assert 20 < len(want) < 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_reading_levels(spark):
     easy, hard = "we like the sun and the hen", "notwithstanding epistemological incommensurability circumscribes legitimation"
     sample = spark.createDataFrame([(i, t, lv) for i, (t, lv) in enumerate([(easy, 1), (easy + " mop", 1), (hard, 5), (hard + " albeit", 5), (None, 3)])], "sample_id long, text string, reading_level int")

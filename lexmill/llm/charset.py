@@ -137,6 +137,7 @@ class Model:
         self.prior: dict[tuple[str, str], float] = {SAME: 0.9}
         self.learned: dict[tuple[str, str], dict[str, str]] = {}
         self._memo: dict[str, float] = {}
+        self._tables: dict[tuple[str, str], tuple] = {}
 
     def fill(self, counts: dict[str, float]) -> None:
         self.pair = dict(counts)
@@ -239,22 +240,124 @@ def candidates(word: str, model: Model) -> dict[str, tuple[str, str]]:
 
 
 SINGLE_SET = frozenset(SINGLE)
-_TABLES: dict[tuple, dict[int, str]] = {}
 
 
 def single_table(wrong: str, true: str, model: Model) -> dict[int, str]:
-    """The translate() table of a one-byte channel: code pages, then what EM has learned."""
-    learned = model.learned.get((wrong, true))
-    key = (wrong, true, id(model) if learned else 0)
-    table = _TABLES.get(key)
+    """The translate() table of a one-byte channel: what EM has learned, the pages' own letters for symbols it never saw."""
+    table = model._tables.get((wrong, true))
     if table is None:
         table = {ord(CHARS[wrong][b]): CHARS[true][b] for b in range(128, 256)}
-        if learned:
-            table.update({ord(s): z for s, z in learned.items()})
-        _TABLES[key] = table
+        table |= {ord(s): z for s, z in model.learned.get((wrong, true), {}).items()}
+        model._tables[wrong, true] = table
     return table
 
 
+def restored(word: str, true: str, channel: tuple[str, str], model: Model) -> str:
+    """``word`` with the channel's learned table applied by translate(); ``true`` where the table lacks a symbol.
+
+    A symbol of several characters is folded into one private character first. Repeated damage is undone
+    by the same table again.
+    """
+    if channel[1] != UTF8:
+        return true
+    got = model._tables.get(channel)
+    if got is None:
+        sequences = sorted(model.learned.get(channel, {}), key=lambda x: (-len(x), x))
+        private = {x: chr(0xF0000 + i) for i, x in enumerate(sequences)}
+        table = {ord(private[x]): model.learned[channel][x] for x in sequences}
+        rx = re.compile("|".join(map(re.escape, sequences))) if sequences else None
+        got = model._tables[channel] = rx, private, table
+    rx, private, table = got
+    now = word
+    for _ in range(4 if rx else 0):
+        now = rx.sub(lambda m: private[m[0]], now).translate(table)
+        if now == true:
+            break
+    return now if now == true else true
+
+
+def aligned(word: str, true: str, page: str) -> list[tuple[str, str]]:
+    """(symbol, letter) pairs of a word whose runs were UTF-8 read as ``page`` once; empty if they don't fit."""
+    out, i = [], 0
+    for z in true:
+        n = 1 if z < "\x80" else len(z.encode(UTF8))
+        if n > 1 and word[i : i + 1] != z:
+            out.append((word[i : i + n], z))
+        else:
+            n = 1
+        i += n
+    return out if i == len(word) else []
+
+
+def strange(word: str, model: Model) -> bool:
+    """Whether a word that no channel explains has letters that stand where the bigrams don't want them."""
+    w = shape(word)
+    pairs = [w[i : i + 2] for i in range(len(w) - 1) if w[i] > "\x7f" or w[i + 1] > "\x7f"]
+    plain = any("a" <= c.lower() <= "z" for c in word)
+    return plain and bool(pairs) and min(map(model.log, pairs)) < STRANGE
+
+
+#: Log-likelihood under which a pair is strange; what a cipher and each of its symbols cost, in nats; different
+#: words that a cipher must change (fewer could be a name or a single look-alike letter).
+STRANGE, CIPHER_COST, SYMBOL_COST, CIPHER_WORDS = -5.5, 14.0, 5.0, 3
+CIPHER = ("an unknown page", "")
+
+
+def between(a: str, b: str, model: Model):
+    """How likely each letter of the alphabet is between two characters; an empty one says nothing."""
+    import numpy as np
+
+    got = model._tables.get((a, b, ""))
+    if got is None:
+        left, right = shape(a)[1:-1] if a > "\x03" else a, shape(b)[1:-1] if b > "\x03" else b
+        logs = np.array([(model.log(left + z) if left else 0.0) + (model.log(z + right) if right else 0.0) for z in ALPHABET])
+        got = model._tables[a, b, ""] = np.exp(logs - logs.max()) + 1e-12
+    return got
+
+
+def cipher(words: list[str], model: Model, rounds: int = 8) -> dict[int, str]:
+    """The translate() table of one source under an unknown code page; empty if none explains its words better.
+
+    Expectation-maximisation: each symbol starts with all letters alike, gets the letters that its neighbours'
+    bigrams expect, and the neighbours follow. The table must gain more likelihood than it takes to write it
+    down, send different symbols to different letters, and leave no pair of letters that the corpus lacks.
+    """
+    import numpy as np
+
+    own = sorted({c for w in words for c in w if c > "\x7f" and c.isalpha()})
+    place = {s: i for i, s in enumerate(own)}
+    share = np.full((len(own), len(ALPHABET)), 1.0 / len(ALPHABET))
+    best = {s: s for s in own}
+    for turn in range(rounds):
+        seen = np.full_like(share, 1e-6)
+        for w in words:
+            for i, s in enumerate(w):
+                if s in place:
+                    # In the first turn a neighbour that is a symbol itself says nothing.
+                    a = "\x02" if i == 0 else best.get(w[i - 1], w[i - 1]) if turn or w[i - 1] not in place else ""
+                    b = "\x03" if i + 1 == len(w) else best.get(w[i + 1], w[i + 1]) if turn or w[i + 1] not in place else ""
+                    p = share[place[s]] * between(a, b, model)
+                    seen[place[s]] += p / p.sum()
+        share = seen / seen.sum(axis=1, keepdims=True)
+        found = {s: ALPHABET[int(share[k].argmax())] for s, k in place.items()}
+        if found == best:
+            break
+        best = found
+    changed = {s: z for s, z in best.items() if s != z}
+    if not changed or len(set(best.values())) < len(best):
+        return {}
+    table = {ord(s): z for s, z in changed.items()}
+    words = sorted({w for w in words if w.translate(table) != w})
+    gain = 0.0
+    for w in words:
+        x = w.translate(table)
+        gain += model.score(x) - model.score(w)
+        y = shape(x)
+        if any(model.pair.get(y[i : i + 2], 0) <= 0 for i in range(len(y) - 1) if y[i] > "\x7f" or y[i + 1] > "\x7f"):
+            return {}
+    return table if len(words) >= CIPHER_WORDS and gain > CIPHER_COST + SYMBOL_COST * len(changed) else {}
+
+
 def readings(word: str, model: Model, slack: float = 18.0) -> list[tuple[float, str, tuple[str, str]]]:
     """(log-likelihood, true word, channel) of the word itself and of each likely candidate.
 
@@ -316,12 +419,15 @@ def expected(found: list[tuple[float, str, tuple[str, str]]], word: str, n: floa
             if (w[i] > "\x7f" or w[i + 1] > "\x7f") and Model.unknown not in w[i : i + 2]:
                 out["b", w[i : i + 2], ""] += p * n
         out["c", channel[0], channel[1]] += p * n
-        if channel[1] not in ("", UTF8):
+        if channel[1] == UTF8:
+            for s, z in aligned(word, true, channel[0]):
+                out["s", channel[0] + "|" + UTF8, s + "|" + z] += p * n
+        elif channel[1]:
             for s, z in zip(word, true):
                 if s > "\x7f":
-                    out["s", channel[0] + "|" + channel[1], s + z] += p * n
+                    out["s", channel[0] + "|" + channel[1], s + "|" + z] += p * n
                     for alt, share in letters_for(true, z, model):
-                        out["s", channel[0] + "|" + channel[1], s + alt] += p * n * share
+                        out["s", channel[0] + "|" + channel[1], s + "|" + alt] += p * n * share
 
 
 def letters_for(true: str, z: str, model: Model) -> list[tuple[str, float]]:
@@ -344,19 +450,33 @@ def update(model: Model, counts: dict[tuple[str, str, str], float]) -> Model:
     channels = {(k[1], k[2]): v for k, v in counts.items() if k[0] == "c"}
     total = sum(channels.values()) + 1.0
     new.prior = {c: max(1e-6, v / total) for c, v in channels.items()}
-    best: dict = {}
+    best: dict = defaultdict(list)
     for (kind, channel, sz), v in counts.items():
         if kind == "s":
-            best.setdefault((channel, sz[0]), []).append((v, sz[1]))
+            best[channel, sz[:-2]].append((v, sz[-1]))
     for (channel, s), found in best.items():
-        v, z = max(found)
         wrong, _, true = channel.partition("|")
-        usual = CHARS[true][BYTES[wrong][s]] if s in BYTES[wrong] else s
-        if z != usual and v > 20 and v > 3 * sum(x for x, c in found if c == usual):
+        usual = page_letter(s, wrong, true)
+        # What the pages say counts as so many sightings; the bigrams may outweigh it.
+        v, z = max((v if z == usual else min(v, v - USUAL) / 3, z) for v, z in found)
+        if v > 0.5:
             new.learned.setdefault((wrong, true), {})[s] = z
     return new
 
 
+#: Sightings of another letter that the pages' own letter of a symbol is worth.
+USUAL = 20.0
+
+
+def page_letter(symbol: str, wrong: str, true: str) -> str | None:
+    """The letter that the two pages suggest for a symbol."""
+    b = to_bytes(symbol, wrong)
+    try:
+        return b.decode(UTF8) if b is not None and true == UTF8 else CHARS[true][b[0]] if b else None
+    except UnicodeDecodeError:
+        return None
+
+
 def first_model(counts: dict[str, float]) -> Model:
     model = Model()
     model.fill(counts)

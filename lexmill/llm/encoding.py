@@ -5,6 +5,8 @@ counted over the whole corpus; expectation-maximisation over these counts learns
 of clean text, the weight of each channel and its symbol-to-letter table (see charset.py).
 The model is bounded by the alphabet, so it is broadcast; the texts are then scanned once,
 without a shuffle, and restored with ``str.translate`` under each source's own channel weights.
+A source whose words no known pair of pages explains gets a table of its own, learned from its
+words against the same bigrams (``charset.cipher``).
 """
 
 from __future__ import annotations
@@ -60,7 +62,9 @@ def fit(df: DataFrame, text: str = "text", rounds: int = 3) -> C.Model:
     An empty corpus, or one of ASCII only, gives a model that finds nothing but control
     characters and lost ones.
     """
-    words = written(word_counts(df, text), "unusual-words")
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = written(word_counts(df, text).repartition(parts), "unusual-words")
     first = C.first_model({k[1]: v for k, v in _summed(words.mapInPandas(_start, COUNTS)).items()})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,19 +106,36 @@ def repair(df: DataFrame, model: C.Model, key: str = "resume_id", text: str = "t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
+        known: dict = {}
+
+        def is_strange(w: str) -> bool:
+            if w not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[w] = C.strange(w, model)
+            return known[w]
+
         for batch in batches:
             rows = []
             for k, t in zip(batch["k"], batch["t"]):
                 words = word.findall(t)
                 found = C.posteriors(words, model, memo)
-                fixes, lost, seen = {}, 0, Counter()
+                fixes, lost, seen, odd = {}, 0, Counter(), []
                 for w, f in zip(words, found):
                     _, true, channel = f[0]
                     if C.LOST in w or C.CONTROL.search(w) and channel in (C.SAME, C.ALIKE):
                         lost += 1
                     if channel not in (C.SAME, C.ALIKE):
-                        fixes[w] = true
+                        fixes[w] = C.restored(w, true, channel, model)
                         seen[f"{channel[1]} read as {channel[0]}"] += 1
+                    elif channel == C.SAME and C.LOST not in w:
+                        odd.append(w)
+                if len({w for w in odd if is_strange(w)}) >= C.CIPHER_WORDS:
+                    table = C.cipher(odd, model)
+                    own = {w: w.translate(table) for w in odd if w.translate(table) != w}
+                    fixes |= own
+                    if own:
+                        seen[f"text read as {C.CIPHER[0]}"] += len(own)
                 if fixes or lost:
                     best = min(seen, key=lambda c: (-seen[c], c)) if seen else None
                     restored = word.sub(lambda m: fixes.get(m[0], m[0]), t) if fixes else t

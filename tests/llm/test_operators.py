@@ -36,6 +36,24 @@ def test_garbled_text_is_found_and_restored(spark):
     assert encoding.garbled(df.limit(0)).count() == 0
 
 
+def test_unknown_page_is_learned_and_restored(spark):
+    """A page outside the list, and an invented permutation of letters, per source; tables are learned for known pages too."""
+    clean = CLEAN * 12 + ["Käserei für Grünsee und Mühlgrün", "Straße früh geöffnet für Käufer"] * 300
+    cipher = str.maketrans("üäßö", "ðøþý")
+    lines = ["Mühlgrün Käserei für Grünsee", "Käserei früh geöffnet für Käufer in Grünsee"]
+    bad = [lines[0].encode("cp1252").decode("cp1253"), lines[1].translate(cipher), lines[0].encode("utf-8").decode("cp1252")]
+    df = frame(spark, clean + bad)
+    got = {r.resume_id: r for r in encoding.garbled(df).collect()}
+    assert [got[f"{len(clean) + i:04d}"].restored for i in range(3)] == [lines[0], lines[1], lines[0]]
+    assert len(got) == 3
+    learned = encoding.fit(df).learned
+    assert learned["cp1252", "utf-8"]["Ã¼"] == "ü"
+    model = charset.Model()
+    model.learned = {("cp1252", "utf-8"): {"Ã¼": "x"}}
+    assert charset.restored("fÃ¼r", "fxr", ("cp1252", "utf-8"), model) == "fxr"  # the table decides, not the codec
+    assert encoding.garbled(frame(spark, CLEAN * 3)).count() == 0
+
+
 def test_channel_tables_round_trip():
     for page in charset.PAGES:
         for b in range(256):

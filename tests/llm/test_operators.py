@@ -171,6 +171,53 @@ def test_mapping_distance_is_bounded_edit_distance():
             assert plain(a, b) >= 2
 
 
+def test_mapping_distances_of_many_pairs():
+    """Equal to the whole table of the weighted distance; the scalar one, which cuts common ends off, is never less."""
+
+    def plain(a, b):
+        t = {(0, 0): 0.0}
+        for i, j in itertools.product(range(len(a) + 1), range(len(b) + 1)):
+            o = [t[0, 0]] if i == j == 0 else []
+            if i:
+                o.append(t[i - 1, j] + (1.0 if not j else 0.6 if i > 1 and a[i - 2] == a[i - 1] else 0.9))
+            if j:
+                o.append(t[i, j - 1] + (1.0 if not i else 0.6 if j > 1 and b[j - 2] == b[j - 1] else 0.9))
+            if i and j:
+                x, y = a[i - 1], b[j - 1]
+                o.append(t[i - 1, j - 1] + (0.0 if x == y else 0.8 if {x, y} <= mapping.VOWELS else 1.0))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    o.append(t[i - 2, j - 2] + 0.8)
+            t[i, j] = min(o)
+        return t[len(a), len(b)]
+
+    rng = random.Random(7)
+    pairs = [("".join(rng.choice("abeosé") for _ in range(rng.randint(4, 14))),) * 2 for _ in range(1500)]
+    for i, (a, b) in enumerate(pairs):
+        b = list(b)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice([[], ["a"], ["b", "b"], [*b[at : at + 2][::-1]]])
+        pairs[i] = a, "".join(b) or "a"
+    for most in (1, 2):
+        got = mapping.distances(mapping.code_points([a for a, _ in pairs]), mapping.code_points([b for _, b in pairs]), most)
+        for (a, b), x in zip(pairs, got):
+            want = plain(a, b)
+            assert abs(x - want) < 1e-6 or min(x, want) > most
+            assert mapping.distance(a, b, most) >= min(want, most) - 1e-6
+
+
+def test_mapping_long_names_and_copies(spark):
+    listed = [("planning of the long haul night freight service", "haul"), ("haul", "short_haul"), ("night", "night")]
+    names = mapping.Names.make(sorted(listed), {})
+    assert names.find("did planing of the long haul night freight servce")[0] == "haul"
+    skills = spark.createDataFrame([(e, t, "f", None) for t, e in listed], "skill_id string, display_name string, family string, description string")
+    aliases = spark.createDataFrame(listed, "alias string, skill_id string")
+    df = spark.createDataFrame([(i, None, "some nigth", None) for i in range(500)] + [(1, None, None, "haull")], "proposal_id long, skill_id string, quoted_phrase string, suggested_name string")
+    got = [tuple(r) for r in mapping.mapped(df, skills, aliases).collect()]
+    assert len(got) == 501 and got.count((1, "night")) == 1 and got.count((1, "short_haul")) == 1
+    assert mapping.mapped(df.limit(0), skills, aliases).count() == 0
+
+
 def test_mapping_rows(spark):
     skills = spark.createDataFrame([("query_tuning", "Query Tuning", "a", None)], "skill_id string, display_name string, family string, description string")
     aliases = spark.createDataFrame([("tuning of queries", "query_tuning"), (None, "query_tuning")], "alias string, skill_id string")

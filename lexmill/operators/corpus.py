@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import repair
-from lexmill.runtime import with_index
+from lexmill.runtime import small, with_index, written
 
-#: Consecutive rows whose batches are formed in one group; a batch ends where a group does.
-BATCH_ROWS = 200_000
+#: Consecutive rows that a task forms batches of at a time, and groups whose starts are broadcast; neither changes the result.
+BATCH_ROWS, GROUPS = 200_000, 1_000_000
 
 
 def row_ids(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
@@ -35,34 +37,74 @@ def repaired(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, repair(F.col(text)))
 
 
-def batches(df: DataFrame, order: str, budget: int = 15000, text: str = "text") -> DataFrame:
+def starts(sizes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch that begins at each row: where the next one begins, how many follow to the end, and the size of the last.
+
+    The rows that fit are found in the running sum; a longer text has a batch of its own.
+    """
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    after = np.maximum(np.searchsorted(total, total[:-1] + budget, "right") - 1, np.arange(n) + 1)
+    count, last = np.ones(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    count[n] = 0
+    for i in range(n - 1, -1, -1):
+        j = after[i]
+        if j < n:
+            count[i], last[i] = count[j] + 1, last[j]
+        else:
+            last[i] = total[n] - total[i]
+    return after, count, last
+
+
+def batches(df: DataFrame, order: str, budget: int = 15000, text: str = "text", group_rows: int = BATCH_ROWS) -> DataFrame:
     """(order, n_chars, batch_index): greedy batches in order, each within ``budget`` characters.
 
     A batch closes when the next text does not fit; a longer text has a batch of its own. The
-    fold is sequential, so it runs in groups of ``BATCH_ROWS`` consecutive rows and batches are
-    numbered through by the groups' counts.
+    rows are worked on in groups, yet the result is that of one fold over all rows: each group gives,
+    for every room that the batch before it may have left, how many batches follow and how full the
+    last one is (a few rows a group); these are chained, and each group is then filled from its start.
     """
+    kind = dict(df.dtypes)[order]
     sized = with_index(df.where(F.col(text).isNotNull()).select(order, F.length(text).cast("long").alias("n_chars")), order)
-    rows = sized.withColumn("g", F.floor(F.col("ix") / BATCH_ROWS))
-    out = f"g long, {order} {dict(df.dtypes)[order]}, n_chars long, b long"
-
-    def fold(pdf):
+    rows = sized.select(F.floor(F.col("ix") / group_rows).alias("g"), "ix", order, "n_chars")
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values("ix")["n_chars"].to_numpy()
+        _, count, last = starts(sizes, budget)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        taken = np.arange(int(np.searchsorted(total, budget, "right")))  # rows that the open batch may still take
+        taken = taken[np.append(total[taken[1:]] > total[taken[:-1]], True)]
+        whole = taken == len(sizes)
+        out = pd.DataFrame({"g": pdf["g"].iloc[0], "room": total[taken], "n": count[taken], "last": np.where(whole, total[-1], last[taken]), "open": whole})
+        first = pd.DataFrame({"g": [pdf["g"].iloc[0]], "room": [-1], "n": [count[0]], "last": [last[0]], "open": [False]})
+        return pd.concat([first, out])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, base, out = budget + 1, 0, []
+        for g, own in pdf.sort_values(["g", "room"]).groupby("g", sort=True):
+            out.append((g, used, base))
+            way = own.iloc[int(np.searchsorted(own["room"].to_numpy(), budget - used, "right")) - 1] if used <= budget else own.iloc[0]
+            used = int(way["last"]) + (used if way["open"] else 0)
+            base += int(way["n"])
+        return pd.DataFrame(out, columns=["g", "used", "base"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ix")
-        used, b, place = -1, -1, []
-        for n in pdf["n_chars"].tolist():
-            if used >= 0 and used + n <= budget:
-                used += n
-            else:
-                used, b = n, b + 1
-            place.append(b)
-        pdf["b"] = place
-        return pdf[["g", order, "n_chars", "b"]]
-
-    packed = rows.groupBy("g").applyInPandas(fold, out)
-    own = packed.groupBy("g").agg((F.max("b") + 1).alias("n"))
-    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    first = own.select("g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return packed.join(F.broadcast(first), "g").select(order, "n_chars", (F.col("first") + F.col("b")).alias("batch_index"))
+        sizes, used = pdf["n_chars"].to_numpy(), int(pdf["used"].iloc[0])
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        i = min(int(np.searchsorted(total, budget - used, "right")) - 1, len(sizes)) if used <= budget else 0
+        after, _, _ = starts(sizes, budget)
+        begins = np.zeros(len(sizes), np.int64)
+        while i < len(sizes):
+            begins[i] = 1
+            i = int(after[i])
+        pdf["batch_index"] = pdf["base"].iloc[0] + np.cumsum(begins) - 1
+        return pdf[[order, "n_chars", "batch_index"]]
+
+    maps = rows.groupBy("g").applyInPandas(ways, "g long, room long, n long, last long, open boolean")
+    begin = maps.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(chain, "g long, used long, base long")
+    filled = rows.join(small(begin, GROUPS, "groups"), "g").groupBy("g").applyInPandas(fill, f"{order} {kind}, n_chars long, batch_index long")
+    return written(filled, "batches")
 
 
 def batch_stats(batched: DataFrame) -> DataFrame:

@@ -2,58 +2,110 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import tokens
-from lexmill.runtime import take_bounded
+from lexmill.functions.text import TOKEN, tokens
 
-#: Aliases that are sent to every executor; a longer list is joined by shuffle.
+#: Aliases that are sent to every executor, some hundred bytes each; a longer list is joined by shuffle.
 ALIAS_ROWS = 100_000
 SPAN = "array<struct<first:int,n:int,alias:string,skill_id:string>>"
+#: The token pattern of the JVM for Python, where \w has the letters and numbers of all scripts.
+PYTHON_TOKEN = re.compile(TOKEN.replace(r"[^\s\p{L}\p{N}_]", r"[^ \t\n\x0b\f\r\w]").replace(r"[^\s]", r"[^ \t\n\x0b\f\r]").replace(r"\p{L}\p{N}_", r"\w"))
+
+Phrases = dict[str, list[tuple[tuple[str, ...], str, str]]]
 
 
 def phrases(aliases: DataFrame) -> DataFrame:
-    """(phrase, skill_id, alias, n, head): aliases as the tokens that they match, in small letters."""
+    """(t, skill_id, alias): aliases as the tokens that they match, in small letters."""
     t = aliases.where("alias is not null and skill_id is not null").select(
-        "skill_id", "alias", F.transform(tokens(F.lower("alias")), F.lower).alias("t")
-    )
-    return t.where(F.size("t") > 0).select(
-        F.array_join("t", " ").alias("phrase"), "skill_id", "alias", F.size("t").alias("n"), F.col("t")[0].alias("head")
+        F.transform(tokens(F.lower("alias")), F.lower).alias("t"), "skill_id", "alias"
     )
+    return t.where(F.size("t") > 0)
 
 
-def candidates(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
-    """(key, first, n, alias, skill_id) of every alias in every text, overlapping ones too.
+def _heads(rows: list) -> Phrases:
+    """The phrases by their first token."""
+    out: Phrases = {}
+    for r in rows:
+        out.setdefault(r.t[0], []).append((tuple(r.t), r.alias, r.skill_id))
+    return out
 
-    Only runs of tokens that begin as an alias does are exploded, in the lengths of the aliases that
-    begin so; the join that follows is on the phrase and broadcast while the list is small.
-    """
-    known = phrases(aliases)
-    lengths = known.select("head", "n").distinct()
-    heads = [r.head for r in take_bounded(known.select("head").distinct(), ALIAS_ROWS, "the list of aliases")]
+
+def found(text: str, heads: Phrases) -> list[tuple[int, int, str, str]]:
+    """(first, n, alias, skill_id) of every phrase in a text, overlapping ones too."""
+    t = [x.lower() for x in PYTHON_TOKEN.findall(text)]
+    out = []
+    for i, x in enumerate(t):
+        for phrase, alias, skill in heads.get(x, ()):
+            if len(phrase) == 1 or tuple(t[i : i + len(phrase)]) == phrase:
+                out.append((i, len(phrase), alias, skill))
+    return out
+
+
+def longest_first(matches: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The matches kept without overlap: longest first, then leftmost, then by alias and skill."""
+    taken: set[int] = set()
+    out = []
+    for m in sorted(matches, key=lambda m: (-m[1], *m)):
+        place = range(m[0], m[0] + m[1])
+        if taken.isdisjoint(place):
+            taken.update(place)
+            out.append(m)
+    return out
+
+
+def _scan(docs: DataFrame, known: list, pick: Callable, key: str, text: str) -> DataFrame:
+    """One pass over the texts in Arrow batches; nothing is shuffled, the texts do not come out."""
+    heads = _heads(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *m) for k, t in zip(batch[key], batch[text]) for m in pick(found(t, heads))]
+            yield pd.DataFrame(rows, columns=[key, "first", "n", "alias", "skill_id"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, first int, n int, alias string, skill_id string")
+
+
+def _joined(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """Every phrase in every text for a list that is too long to be sent: joined on the head, then on the phrase."""
+    known = known.select(F.array_join("t", "\x00").alias("phrase"), F.col("t")[0].alias("head"), F.size("t").alias("n"), "skill_id", "alias")
     toks = docs.where(F.col(text).isNotNull()).select(key, F.transform(tokens(F.col(text)), F.lower).alias("t"))
-    starts = F.filter(
-        F.transform("t", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].isin(heads)
-    )
-    at = toks.select(key, "t", F.explode(starts).alias("s"))
-    at = at.select(key, "t", F.col("s.i").alias("first"), F.col("s.x").alias("head")).join(F.broadcast(lengths), "head")
-    runs = at.where(F.col("first") + F.col("n") <= F.size("t")).select(
-        key, "first", "n", F.array_join(F.slice("t", F.col("first") + 1, F.col("n")), " ").alias("phrase")
-    )
-    return runs.join(F.broadcast(known.drop("n", "head")), "phrase").select(key, "first", "n", "alias", "skill_id")
+    at = toks.select(key, "t", F.posexplode("t").alias("first", "head")).join(known.select("head", "n").distinct(), "head")
+    run = F.array_join(F.slice("t", F.col("first") + 1, F.col("n")), "\x00").alias("phrase")
+    runs = at.where(F.col("first") + F.col("n") <= F.size("t")).select(key, "first", run)
+    return runs.join(known, "phrase").select(key, "first", "n", "alias", "skill_id")
+
+
+def candidates(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
+    """(key, first, n, alias, skill_id) of every alias in every text, overlapping ones too."""
+    known = phrases(aliases)
+    rows = known.limit(ALIAS_ROWS + 1).collect()
+    return _scan(docs, rows, list, key, text) if len(rows) <= ALIAS_ROWS else _joined(docs, known, key, text)
 
 
 def spans(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
-    """(key, first, n, alias, skill_id) of the accepted phrases: longest first, then leftmost."""
-    found = candidates(docs, aliases, key, text).groupBy(key).agg(F.collect_list(
+    """(key, first, n, alias, skill_id) of the accepted phrases: longest first, then leftmost.
+
+    Keys are unique; with a list that is sent to the executors, repeated ones each give their own spans.
+    """
+    known = phrases(aliases)
+    rows = known.limit(ALIAS_ROWS + 1).collect()
+    if len(rows) <= ALIAS_ROWS:
+        return _scan(docs, rows, longest_first, key, text)
+    every = _joined(docs, known, key, text).groupBy(key).agg(F.collect_list(
         F.struct((-F.col("n")).alias("rank"), "first", "n", "alias", "skill_id")).alias("c"))
     pick = lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n"), x["alias"].alias("alias"), x["skill_id"].alias("skill_id"))  # noqa: E731, E501
     fold = lambda acc, x: F.when(
         F.exists(acc, lambda k: (x["first"] < k["first"] + k["n"]) & (x["first"] + x["n"] > k["first"])), acc
     ).otherwise(F.concat(acc, F.array(pick(x))))
     kept = F.aggregate(F.array_sort("c"), F.array().cast(SPAN), fold)
-    return found.select(key, F.explode(kept).alias("k")).select(key, "k.*")
+    return every.select(key, F.explode(kept).alias("k")).select(key, "k.*")
 
 
 def skills(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import escape, first_come, matches, replace_spans
+from lexmill.runtime import small
+
+#: Phrases that are sent to every executor; a longer list is left to the planner.
+PHRASES = 100_000
 
 # The patterns in order of priority, and the placeholder of each kind.
 PATTERNS = (
@@ -114,7 +118,7 @@ def name_collisions(names: DataFrame, aliases: DataFrame, key: str = "resume_id"
     words = words.where("token <> ''").distinct()
     distinct = words.select("token").distinct()
     whole = distinct.join(aliases.select(F.col("alias").alias("token"), "skill_id"), "token")
-    phrases = F.broadcast(aliases.where(F.instr("alias", " ") > 0))
+    phrases = small(aliases.where(F.instr("alias", " ") > 0), PHRASES, "phrases")
     inside = distinct.join(phrases, F.expr("contains(alias, token)")).select("token", "skill_id")
     hits = whole.unionByName(inside).distinct()
     return words.join(hits, "token").select(key, "skill_id", F.length("token").alias("token_length")).distinct()

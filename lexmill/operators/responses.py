@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.runtime import small
+
+#: Skills that are sent to every executor; a longer list is left to the planner.
+ID_ROWS = 200_000
+
 ITEM = "struct<resume_id:string,skill_id:string,quoted_phrase:string,suggested_name:string>"
 ITEMS = f"array<{ITEM}>"
 # The keys that every item of a reply must have.
@@ -22,26 +28,31 @@ def checked(replies: DataFrame, skills: DataFrame, *key: str) -> DataFrame:
     is ``batch_index`` unless other columns are named.
     """
     key = key or ("batch_index",)
-    known = F.broadcast(skills.select(F.col("skill_id").alias("own")).distinct().agg(F.collect_set("own").alias("own")))
     kind = F.get_json_object("content", "$")
     body = F.trim("content")
     keys = F.from_json("content", "array<map<string,string>>")
     parsed = F.from_json("content", ITEMS)
     lacking = F.exists(keys, lambda m: F.expr("false") if not REQUIRED else ~(
         F.array_contains(F.map_keys(m), REQUIRED[0]) & F.array_contains(F.map_keys(m), REQUIRED[1]) & F.array_contains(F.map_keys(m), REQUIRED[2])))
-    outside = F.exists(parsed, lambda x: ~(F.coalesce(x["skill_id"], F.lit("")) == "NEW") & ~F.array_contains(F.col("own"), F.coalesce(x["skill_id"], F.lit(""))))
+    named_ids = F.filter(F.array_distinct(F.transform(parsed, lambda x: F.coalesce(x["skill_id"], F.lit("")))), lambda i: i != "NEW")
     error = (
         F.when(F.col("done_reason") == "length", "length")
         .when(F.col("content").isNull() | (body == ""), "empty")
         .when(kind.isNull() & ~body.rlike(r"^\[\s*\]$"), "not_json")
         .when(~body.startswith("["), "not_list")
         .when(keys.isNull() | lacking, "missing_key")
-        .when(outside, "unknown_id")
     )
     named = F.transform(parsed, lambda x: F.struct(
         x["resume_id"].alias("resume_id"), x["skill_id"].alias("skill_id"), x["quoted_phrase"].alias("quoted_phrase"),
         F.when(x["skill_id"] == "NEW", x["suggested_name"]).alias("suggested_name")))
-    return replies.join(known).select(*key, error.alias("error"), F.when(error.isNull(), named).alias("items"))
+    done = replies.select(*key, error.alias("error"), F.when(error.isNull(), named).alias("items"), F.when(error.isNull(), named_ids).alias("ids"))
+    # Ids are looked up by an anti-join, so the list of skills never goes into a row.
+    known = small(skills.select(F.col("skill_id").alias("id")).distinct(), ID_ROWS, "skills")
+    bad = done.select(*[F.col(k).alias(f"__{k}") for k in key], F.explode("ids").alias("id")).join(known, "id", "left_anti").drop("id").distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    joined = done.join(bad.withColumn("__bad", F.lit(True)), same, "left")
+    outside = F.col("__bad").isNotNull()
+    return joined.select(*key, F.when(outside, "unknown_id").otherwise(F.col("error")).alias("error"), F.when(~outside, F.col("items")).alias("items"))
 
 
 def proposals(done: DataFrame, model: str, key: str = "batch_index") -> DataFrame:

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.runtime import small
+
+#: Rows of a list of skills or roles that are sent to every executor; a longer one is left to the planner.
+LIST_ROWS = 100_000
 # Bucket names in order; a later bucket wins where a skill is in two.
 BUCKETS = ("core", "supporting", "differentiator")
 ID = r"^[a-z0-9_]+$"
@@ -61,6 +65,12 @@ def orphans(skills: DataFrame, used: DataFrame) -> DataFrame:
     return left.groupBy("family").agg(F.count("*").alias("n"), listed.alias("skills"))
 
 
+def counts(skills: DataFrame, aliases: DataFrame, roles: DataFrame) -> DataFrame:
+    """One row: (n_skills, n_roles, n_aliases) of a taxonomy."""
+    one = lambda df, name, what: df.agg(F.count_distinct(what).alias(name))
+    return one(skills, "n_skills", "skill_id").crossJoin(one(roles, "n_roles", "role_id")).crossJoin(aliases.agg(F.count("*").alias("n_aliases")))
+
+
 def role_totals(roles: DataFrame) -> DataFrame:
     core = F.sum(F.when(F.col("bucket") == "core", 1).otherwise(0))
     return roles.groupBy("role_id").agg(
@@ -85,34 +95,40 @@ def contained(aliases: DataFrame) -> DataFrame:
     a = aliases.select(F.col("alias").alias("inside"), F.col("skill_id").alias("own"))
     b = aliases.where(F.instr("alias", " ") > 0)
     on = F.expr("contains(alias, inside)") & (F.col("own") != F.col("skill_id"))
-    return b.join(F.broadcast(a), on).select("alias", "inside", "skill_id")
+    return b.join(small(a, LIST_ROWS, "aliases"), on).select("alias", "inside", "skill_id")
 
 
 def _violation(df: DataFrame, check: str, subject: Column, detail: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check_id"), subject.alias("subject"), detail.alias("detail"))
 
 
-def violations(skills: DataFrame, aliases: DataFrame, roles: DataFrame, versions: tuple[str, str, str]) -> DataFrame:
-    """(check_id, subject, detail): every violated rule of a taxonomy, all checks in one union."""
+def violations(skills: DataFrame, aliases: DataFrame, roles: DataFrame, versions: tuple[str, str, str], role_ids: DataFrame | None = None) -> DataFrame:
+    """(check_id, subject, detail): every violated rule of a taxonomy, all checks in one union.
+
+    ``roles`` has a row for each role, bucket and skill, ``role_ids`` (role_id) one for each role as
+    listed; without it the roles are those of ``roles`` and none can be listed twice or be empty.
+    """
     c, none = F.col, F.lit("")
-    dup = skills.groupBy("skill_id").count().where("count > 1")
-    unknown = roles.join(skills.select("skill_id"), "skill_id", "left_anti")
-    no_core = roles.select("role_id").distinct().join(roles.where("bucket = 'core'"), "role_id", "left_anti")
-    own = aliases.where(c("alias") == c("skill_id")).select("skill_id")
-    named = F.lower(F.regexp_replace(c("display_name"), "[^A-Za-z0-9]+", "_"))
-    self_alias = skills.join(aliases.select(F.regexp_replace("alias", " ", "_").alias("a"), c("skill_id").alias("s")),
-                             (c("s") == c("skill_id")) & (c("a") == named), "left_anti")
+    listed = roles.select("role_id").distinct() if role_ids is None else role_ids.select("role_id")
+    skill_ids = small(skills.select("skill_id").distinct(), LIST_ROWS, "skills")
+    own = small(aliases.where(c("alias") == c("skill_id")).select("skill_id").distinct(), LIST_ROWS, "skills")
+    named = small(aliases.select("skill_id").distinct(), LIST_ROWS, "skills")
+    core = small(roles.where("bucket = 'core'").select("role_id").distinct(), LIST_ROWS, "roles")
+    twice = lambda df, name: df.groupBy(name).count().where("count > 1")
     parts = [
-        _violation(dup, "V01", c("skill_id"), c("count").cast("string")),
+        _violation(twice(skills, "skill_id"), "V01", c("skill_id"), c("count").cast("string")),
+        _violation(twice(listed, "role_id"), "V02", c("role_id"), c("count").cast("string")),
         _violation(aliases.where("alias <> trim(lower(alias))"), "V03", c("alias"), c("skill_id")),
         _violation(owners(aliases), "V04", c("alias"), c("owners")),
-        _violation(self_alias.join(own, "skill_id", "left_anti"), "V05", c("skill_id"), none),
+        _violation(skills.join(own, "skill_id", "left_anti"), "V05", c("skill_id"), none),
         _violation(skills.where("description is null or length(description) not between 20 and 200"), "V06",
                    c("skill_id"), F.coalesce(F.length("description").cast("string"), F.lit("missing"))),
-        _violation(unknown, "V07", c("role_id"), c("skill_id")),
+        _violation(roles.join(skill_ids, "skill_id", "left_anti"), "V07", c("role_id"), F.concat_ws(": ", "bucket", "skill_id")),
         _violation(bucket_overlap(roles), "V08", c("role_id"), F.concat_ws(": ", "skill_id", "buckets")),
-        _violation(no_core, "V09", c("role_id"), none),
+        _violation(listed.distinct().join(core, "role_id", "left_anti"), "V09", c("role_id"), none),
         _violation(skills.where(~c("skill_id").rlike(ID) | ~c("family").rlike(ID)), "V11", c("skill_id"), c("family")),
+        _violation(skills.join(named, "skill_id", "left_anti"), "V11", c("skill_id"), F.lit("no alias")),
+        _violation(listed.distinct().where(~c("role_id").rlike(ID)), "V11", c("role_id"), F.lit("id")),
         _violation(roles.where("weight not between 1 and 5 or min_core_ratio <= 0 or min_core_ratio > 1"), "V11",
                    c("role_id"), c("skill_id")),
     ]
@@ -122,3 +138,20 @@ def violations(skills: DataFrame, aliases: DataFrame, roles: DataFrame, versions
         got = skills.sparkSession.createDataFrame(mismatch, "subject string, detail string")
         parts.append(_violation(got, "V10", c("subject"), c("detail")))
     return reduce(DataFrame.unionAll, parts)
+
+
+#: Texts of the checks, in the order in which a report lists them.
+TITLES = {
+    "V01": "skill id listed more than once", "V02": "role id listed more than once", "V03": "alias is not lower case or not trimmed",
+    "V04": "alias belongs to several skills", "V05": "own id is not among the aliases", "V06": "description missing or not of 20 to 200 characters",
+    "V07": "role names an unknown skill", "V08": "skill stands in several buckets of a role", "V09": "role has no core skill",
+    "V10": "versions differ", "V11": "field is out of its form or range",
+}
+
+
+def report(found: DataFrame) -> DataFrame:
+    """(place, line): one line for each violation in the order of the checks, then of subject and detail."""
+    title = F.element_at(F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv]), F.col("check_id"))
+    line = F.concat(F.lit("- "), F.col("check_id"), F.lit(" "), F.col("subject"), F.lit(": "), title,
+                    F.when(F.col("detail") == "", "").otherwise(F.concat(F.lit(" ("), F.col("detail"), F.lit(")"))))
+    return found.select(F.struct("check_id", "subject", "detail").alias("place"), line.alias("line")).orderBy("place")

@@ -1,6 +1,7 @@
 """Core operators: stated cases, and brute force where SQL can't ask the question."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import agreement, corpus, gazetteer, pii, responses, runs, scoring, taxonomy
+from lexmill.operators import agreement, corpus, gazetteer, pii, responses, runs, scoring, similarity, taxonomy
 from lexmill.runtime import with_index
 from lexmill.sources import files
 from lexmill.streaming import streams
@@ -106,6 +107,71 @@ def test_batches(spark, sizes, budget, want):
     assert [r.batch_index for r in corpus.batches(df, "resume_id", budget).orderBy("resume_id").collect()] == want
 
 
+@pytest.mark.parametrize("group", [1, 2, 3, 7, 1000])
+def test_batches_are_one_fold_whatever_the_groups(spark, group):
+    rng = random.Random(group)
+    sizes = [rng.choice([0, 0, 1, 3, 9, 10, 11, 25, rng.randint(0, 12)]) for _ in range(120)]
+    used, batch, want = None, -1, []
+    for n in sizes:
+        if used is not None and used + n <= 10:
+            used += n
+        else:
+            used, batch = n, batch + 1
+        want.append(batch)
+    got = corpus.batches(texts(spark, ["x" * n for n in sizes]), "resume_id", 10, group_rows=group).orderBy("resume_id").collect()
+    assert [(r.n_chars, r.batch_index) for r in got] == list(zip(sizes, want))
+
+
+def test_long_lists_of_aliases_are_joined(spark, monkeypatch):
+    aliases = spark.createDataFrame(ALIASES, "alias string, skill_id string")
+    docs = texts(spark, ["GitHub Actions and Azure DevOps git", "Spark SQL Server, node.js", None, ""])
+    want = [{tuple(r) for r in f(docs, aliases).collect()} for f in (gazetteer.candidates, gazetteer.spans)]
+    monkeypatch.setattr(gazetteer, "ALIAS_ROWS", 3)
+    assert [{tuple(r) for r in f(docs, aliases).collect()} for f in (gazetteer.candidates, gazetteer.spans)] == want
+    assert all(want)
+
+
+def test_tokens_are_the_same_in_python(spark):
+    rng = random.Random(3)
+    letters = "aZé9_.'+# \t\n\r@:/-x²½Ⅷ中ß\xa0\u2028é𝗐ﬁ%"
+    values = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(300)] + ["x@y.z https://a.b/c?d", "http://"]
+    got = {r.resume_id: r.t for r in texts(spark, values).select("resume_id", T.tokens(F.col("text")).alias("t")).collect()}
+    assert [got[f"{i:03d}"] for i in range(len(values))] == [gazetteer.PYTHON_TOKEN.findall(t) for t in values]
+
+
+def test_nearest_skill(spark):
+    skills = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [0.0, 2.0]), ("c", [1.0, 0.0]), ("n", None)], "label string, embedding array<double>")
+    df = spark.createDataFrame([(1, [0.0, 3.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.label, r.score) for r in similarity.nearest(df, skills).collect()}
+    assert got[1] == ("a", 1.0) and got[2][0] == "c" and got[3] == (None, None) and got[4] == ("a", 0.0)
+    assert similarity.nearest(df, skills.limit(0)).count() == 0
+
+
+def test_taxonomy_checks(spark):
+    skills = spark.createDataFrame([("a", "A", "f", "x" * 20), ("a", "A", "f", "x" * 20), ("b", "B", "f", "x" * 30)], "skill_id string, display_name string, family string, description string")
+    aliases = spark.createDataFrame([("a", "a"), ("bee", "b")], "alias string, skill_id string")
+    roles = spark.createDataFrame([("r", "core", "a", 3, 0.5), ("r", "differentiator", "a", 1, 0.5)], "role_id string, bucket string, skill_id string, weight int, min_core_ratio double")
+    ids = spark.createDataFrame([("r",), ("r",), ("empty",)], "role_id string")
+    got = {(r.check_id, r.subject) for r in taxonomy.violations(skills, aliases, roles, ("1", "1", "1"), ids).collect()}
+    assert got == {("V01", "a"), ("V02", "r"), ("V05", "b"), ("V08", "r"), ("V09", "empty")}
+    found = spark.createDataFrame([("1", "a")], "resume_id string, skill_id string")
+    assert scoring.coverage(found, roles).first().score == 1.0 and scoring.requirements(roles).first().total == 1
+
+
+def test_labels_of_one_file(spark):
+    from lexmill.operators import labels
+
+    base = (1, "prac_001", "practice", "s", "draft", "x.pdf", "a" * 64, "pdf", "one", "0.7", "me", "2026-01-31", ["a"], [], ["r"], [], "")
+    change = lambda **kw: tuple(kw.get(f.split()[0], v) for f, v in zip(labels.SCHEMA.split(", "), base))
+    rows = [base, change(file_name="y.pdf"), change(resume_id="prac_002", status="final", skills_present=[], roles_fit=["zz"]), change(resume_id="exam_003", skills_present=["zz", "zz"], file_sha256="b" * 64), change(format="txt")]
+    df = spark.createDataFrame(rows, labels.SCHEMA)
+    skills, roles = spark.createDataFrame([("a",)], "skill_id string"), spark.createDataFrame([("r",)], "role_id string")
+    got = sorted(tuple(r) for r in labels.violations(df, skills, roles, "0.7").collect())
+    sha = "a" * 64
+    assert got == [("V12", "prac_001", "format"), ("V13", "prac_002", "skills_present"), ("V15", "exam_003", "skills_present: zz"), ("V17", "exam_003", "practice"),
+                   ("V19", "prac_001", "x.pdf"), ("V19", "prac_001", "y.pdf"), ("V20", "prac_001", f"{sha}: x.pdf"), ("V20", "prac_001", f"{sha}: y.pdf")]
+
+
 def test_index_and_first_copies(spark):
     df = texts(spark, ["a", "b", "a", None, "a"]).repartition(4)
     assert {r.resume_id: r.ix for r in with_index(df, "resume_id").collect()} == {f"{i:03d}": i for i in range(5)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import repair
-from lexmill.runtime import small, with_index, written
+from lexmill.runtime import small, take_bounded, with_index, written
 
 #: Consecutive rows that a task forms batches of at a time, and groups whose starts are broadcast; neither changes the result.
 BATCH_ROWS, GROUPS = 200_000, 1_000_000
@@ -117,3 +117,30 @@ def prompts(docs: DataFrame, batched: DataFrame, vocabulary: str, key: str = "re
     rows = docs.join(batched.select(key, "batch_index"), key).select("batch_index", F.struct(F.col(key), F.concat(head, "text").alias("p")).alias("r"))
     parts = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["p"])
     return rows.groupBy("batch_index").agg(F.concat(F.lit(vocabulary + "\n\nRESUMES:\n\n"), F.array_join(parts, "\n\n")).alias("prompt"))
+
+
+#: The rules of a mining prompt; {N} is the number of skills, {VOCABULARY} a line ``id: aliases`` for each.
+MINING_RULES = """Find wordings in the résumés below that name a skill of the list and are not among its known aliases.
+
+- skill_id is one of the {N} ids of the list, or NEW for a skill that the list lacks; for NEW add suggested_name, in the form of the ids.
+- Leave out what is listed as an alias already, whatever its letter case.
+- quoted_phrase is copied from the text letter by letter.
+- Answer with a JSON list and nothing around it, [] if there is nothing:
+[{"resume_id": "0000", "skill_id": "...", "quoted_phrase": "..."}, {"resume_id": "0000", "skill_id": "NEW", "quoted_phrase": "...", "suggested_name": "..."}]
+
+{N} skills, as id: known aliases
+
+{VOCABULARY}"""
+
+
+def vocabulary(skills: DataFrame, aliases: DataFrame, most: int = 200_000) -> tuple[int, str]:
+    """(number of skills, a line for each with its aliases besides its id), in order of id."""
+    own = aliases.where(F.col("alias") != F.col("skill_id")).groupBy("skill_id").agg(F.array_join(F.sort_array(F.collect_list("alias")), ", ").alias("a"))
+    rows = take_bounded(skills.select("skill_id").dropna().distinct().join(own, "skill_id", "left").orderBy("skill_id"), most, "the vocabulary")
+    return len(rows), "\n".join(f"{r.skill_id}: {r.a or ''}" for r in rows)
+
+
+def mining_prompts(docs: DataFrame, batched: DataFrame, skills: DataFrame, aliases: DataFrame, rules: str = MINING_RULES, key: str = "resume_id") -> DataFrame:
+    """``prompts`` with the rules and the vocabulary before the texts; a plain replacement, so braces in the rules stay."""
+    n, block = vocabulary(skills, aliases)
+    return prompts(docs, batched, rules.replace("{N}", str(n)).replace("{VOCABULARY}", block), key)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import TOKEN, tokens
+from lexmill.runtime import take_bounded
 
 #: Aliases that are sent to every executor, some hundred bytes each; a longer list is joined by shuffle.
 ALIAS_ROWS = 100_000
@@ -108,6 +109,26 @@ def spans(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str
     return every.select(key, F.explode(kept).alias("k")).select(key, "k.*")
 
 
+def mentions(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
+    """(key, skill_id, matched_alias, start, end) of the accepted phrases, as they stand in the text; offsets in code points.
+
+    The list must be short enough to be sent to the executors.
+    """
+    heads = _heads(take_bounded(phrases(aliases), ALIAS_ROWS, "the list of aliases"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch[key], batch[text]):
+                at = [m.span() for m in PYTHON_TOKEN.finditer(t)]
+                rows += [(k, s, t[at[i][0] : at[i + n - 1][1]], at[i][0], at[i + n - 1][1]) for i, n, _, s in longest_first(found(t, heads))]
+            yield pd.DataFrame(rows, columns=[key, "skill_id", "matched_alias", "start", "end"])
+
+    kind = dict(docs.dtypes)[key]
+    schema = f"{key} {kind}, skill_id string, matched_alias string, start int, end int"
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)
+
+
 def skills(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
     """(key, skill_id), once for each skill that a text names."""
     return spans(docs, aliases, key, text).select(key, "skill_id").distinct()

@@ -94,11 +94,15 @@ def hash_check(labels: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def stubs(files: DataFrame, version: str) -> DataFrame:
-    """Draft labels, to be filled in by hand, of files given as (resume_id, file_name, sha256)."""
-    empty = F.array().cast("array<string>")
+    """Draft labels, to be filled in by hand, of files given as (resume_id, file_name, sha256).
+
+    Everything but the file is what most labels have, and is corrected by hand.
+    """
+    empty, blank = F.array().cast("array<string>"), F.lit("")
     kind = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
     return files.select(
-        F.lit(1).alias("label_version"), "resume_id", F.lit("practice").alias("set"), F.lit("draft").alias("status"), "file_name",
-        F.col("sha256").alias("file_sha256"), kind.alias("format"), F.lit(version).alias("taxonomy_version"),
-        empty.alias("skills_present"), empty.alias("roles_fit"),
+        F.lit(1).alias("label_version"), "resume_id", F.lit("practice").alias("set"), F.lit("self").alias("source"), F.lit("draft").alias("status"),
+        "file_name", F.col("sha256").alias("file_sha256"), kind.alias("format"), F.lit("other").alias("layout"), F.lit(version).alias("taxonomy_version"),
+        blank.alias("labeller"), F.date_format(F.current_date(), "yyyy-MM-dd").alias("labelled_at"),
+        *[empty.alias(x) for x in LISTS], blank.alias("notes"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import agreement, corpus, gazetteer, intake, labels, pii, responses, runs, scoring, similarity, taxonomy
+from lexmill.operators import agreement, contracts, corpus, gazetteer, intake, labels, ladder, pii, responses, runs, scoring, similarity, taxonomy
 from lexmill.runtime import small, table, take_bounded, with_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,7 +578,8 @@ sha256(text) AS file_sha256, 'docx' AS format, '0.7' AS taxonomy_version, '' AS
 def label_stub(s, d):
     k = F.col("doc_id").cast("string")
     files = table(s, d, "documents").where("text is not null").select(k.alias("resume_id"), F.concat(k, F.lit(".DOCX")).alias("file_name"), F.sha2("text", 256).alias("sha256"))
-    return labels.stubs(files, "0.7").withColumn("skills_present", F.array_join("skills_present", ",")).drop("roles_fit")
+    made = labels.stubs(files, "0.7").withColumn("skills_present", F.array_join("skills_present", ","))
+    return made.select("label_version", "resume_id", "set", "status", "file_name", "file_sha256", "format", "taxonomy_version", "skills_present")
 
 
 # --- Agreement ----------------------------------------------------------------------------
@@ -683,6 +684,104 @@ def mining_manifest(s, d):
     return responses.manifest(responses.checked(_replies(s, d), _skills(s, d), "model", "batch_index"), "model")
 
 
+# --- Contracts, prompts and rungs ---------------------------------------------------------
+def _requests(s, d):
+    """Requests made of the documents; a rule on the row number breaks one rule of the contract in each."""
+    k = F.col("doc_id")
+    file = F.struct(
+        F.when(k % 13 == 0, "url").otherwise("file").alias("kind"), F.when(k % 17 == 0, "%%%").otherwise(F.base64(F.col("text").cast("binary"))).alias("content_base64"),
+        F.when(k % 11 == 0, "text/plain").otherwise("application/pdf").alias("mime_type"), F.lit("a.pdf").alias("filename"))
+    body = F.struct(
+        F.when(k % 7 == 0, "v2").otherwise("v1").alias("schema_version"), k.cast("string").alias("request_id"), F.when(k % 19 != 0, "u").alias("user_id"), file.alias("input"),
+        F.struct((k % 12).cast("int").alias("max_roles")).alias("options"), F.when(k % 23 == 0, 1).alias("more"))
+    docs = table(s, d, "documents").where("text is not null")
+    return contracts.parsed(docs.select("doc_id", F.when(k % 29 == 0, "no json").otherwise(F.to_json(body)).alias("body")))
+
+
+REQUESTS = """WITH r AS (SELECT doc_id, length(encode(text)) AS size, CASE WHEN k % 29 = 0 THEN 'not an object' WHEN k % 23 = 0 THEN 'unknown field' WHEN k % 19 = 0 THEN 'missing field'
+WHEN k % 7 = 0 THEN 'schema_version' WHEN k % 13 = 0 THEN 'kind' WHEN k % 11 = 0 THEN 'mime_type' WHEN k % 12 NOT BETWEEN 1 AND 10 THEN 'max_roles' WHEN k % 17 = 0 THEN 'content_base64' END AS problem
+FROM (SELECT *, doc_id AS k FROM documents WHERE text IS NOT NULL))"""
+
+
+@query(REQUESTS.replace("length(encode(text))", "octet_length(encode(text))") + " SELECT doc_id, problem FROM r")
+def contract_requests(s, d):
+    return _requests(s, d).select("doc_id", "problem")
+
+
+@query(REQUESTS.replace("length(encode(text))", "octet_length(encode(text))") + """ SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(size AS BIGINT) AS n_bytes,
+CAST(doc_id % 12 AS INT) AS max_roles FROM r WHERE problem IS NULL""")
+def contract_files(s, d):
+    return contracts.files(_requests(s, d)).select("request_id", F.octet_length("content").cast("long").alias("n_bytes"), "max_roles")
+
+
+@query(COVER + """ SELECT resume_id, 'score' AS field FROM cov WHERE score * 1.5 > 1
+UNION ALL SELECT resume_id, 'core_ratio' FROM cov WHERE core_ratio - 0.5 < 0""")
+def contract_ranges(s, d):
+    """Scores and ratios that were moved out of their range on purpose."""
+    moved = _cover(s, d).select("resume_id", (F.col("score") * 1.5).alias("score"), (F.col("core_ratio") - 0.5).alias("core_ratio"))
+    return contracts.out_of_range(moved, "resume_id").select("resume_id", "field")
+
+
+@query("""WITH v AS (SELECT count(*) AS n, string_agg(skill_id, chr(10) ORDER BY skill_id) AS list FROM skill)
+SELECT resume_id, sha256('' || n || ' ids:' || chr(10) || list || chr(10) || chr(10) || 'RESUME:' || chr(10) || text) AS sha FROM corpus_resume, v WHERE text IS NOT NULL""")
+def extraction_prompt(s, d):
+    got = ladder.extraction_prompts(_resumes(s, d), _skills(s, d), "{N} ids:\n{SKILL_LIST}\n")
+    return got.select("resume_id", F.sha2("prompt", 256).alias("sha"))
+
+
+def _answers(s, d):
+    """Answers of a pretended model: the mentions of each résumé, some of them damaged by a rule on the id."""
+    k = F.col("resume_id").cast("long")
+    own = _mentions(s, d).groupBy("resume_id").agg(F.array_sort(F.collect_set("skill_id")).alias("skills"))
+    good = F.to_json(F.struct(F.col("skills").alias("skills_present")))
+    content = F.when(k % 7 == 1, "oops").when(k % 7 == 2, '{"a": 1}').when(k % 7 == 3, "").when(k % 7 == 4, '{"skills_present": 1}').when(
+        k % 7 == 5, '{"skills_present": ["no such id"]}').otherwise(good)
+    reason, failure = F.when(k % 11 == 1, "length").otherwise("stop"), F.when(k % 13 == 1, "timeout")
+    return own.select("resume_id", content.alias("content"), reason.alias("done_reason"), failure.alias("failure"))
+
+
+ANSWERS = """WITH own AS (SELECT resume_id, CAST(resume_id AS BIGINT) AS k, bool_and(skill_id IN (SELECT skill_id FROM skill)) AS known,
+ string_agg(DISTINCT skill_id, ',' ORDER BY skill_id) AS list FROM extracted_skill WHERE skill_id IS NOT NULL AND resume_id IS NOT NULL GROUP BY 1),
+a AS (SELECT *, CASE WHEN k % 13 = 1 THEN 'failed' WHEN k % 11 = 1 THEN 'length' WHEN k % 7 = 3 THEN 'empty' WHEN k % 7 = 1 THEN 'not_json' WHEN k % 7 = 2 THEN 'missing_key'
+ WHEN k % 7 = 4 THEN 'not_list' WHEN k % 7 = 5 OR NOT known THEN 'unknown_id' END AS error FROM own)"""
+
+
+@query(ANSWERS + " SELECT resume_id, error, CASE WHEN error IS NULL THEN list END AS skills FROM a")
+def rung3_answers(s, d):
+    got = ladder.answers(_answers(s, d), _skills(s, d))
+    return got.select("resume_id", "error", F.array_join("skills", ",").alias("skills"))
+
+
+@query(ANSWERS + """, p AS (SELECT e.resume_id AS file, e.skill_id, max(CASE WHEN match_id % 2 = 1 THEN 1 ELSE 0 END) AS r FROM extracted_skill e JOIN a USING (resume_id)
+WHERE a.error IS NULL AND e.skill_id IS NOT NULL GROUP BY 1, 2)
+SELECT count(*) AS candidate_count, CAST(sum(r) AS BIGINT) AS reference_count, CAST(sum(r) AS BIGINT) AS agreed_count FROM p""")
+def rung3_agreement(s, d):
+    """Agreement over the texts that were answered; failed ones take no part on either side."""
+    done = ladder.answers(_answers(s, d), _skills(s, d)).withColumnRenamed("resume_id", "file")
+    found = done.select("file", F.explode("skills").alias("skill_id"))
+    total = agreement.micro(agreement.paired(found, ladder.restricted(_sides(s, d)[1], done)))
+    return total.select("candidate_count", "reference_count", "agreed_count")
+
+
+@query(f"""WITH {SPANS}, r AS (SELECT DISTINCT resume_id AS file, skill_id FROM extracted_skill WHERE skill_id IS NOT NULL AND resume_id IS NOT NULL AND match_id % 2 = 1),
+c AS (SELECT DISTINCT '1' AS rung, resume_id AS file, skill_id FROM span UNION ALL
+ SELECT DISTINCT '2', resume_id, skill_id FROM extracted_skill WHERE skill_id IS NOT NULL AND resume_id IS NOT NULL AND match_id % 2 = 0),
+p AS (SELECT rung, file, skill_id, 1 AS c, CASE WHEN (file, skill_id) IN (SELECT (file, skill_id) FROM r) THEN 1 ELSE 0 END AS r FROM c
+ UNION ALL SELECT rung, file, skill_id, 0, 1 FROM r, (SELECT unnest(['1', '2']) AS rung) WHERE (rung, file, skill_id) NOT IN (SELECT (rung, file, skill_id) FROM c))
+SELECT rung, file, CAST(sum(c) AS BIGINT) AS candidate_count, CAST(sum(r) AS BIGINT) AS reference_count, CAST(sum(c * r) AS BIGINT) AS agreed_count,
+CAST(sum(c * r) AS DOUBLE) / (sum(c) + sum(r) - sum(c * r)) AS jaccard FROM p GROUP BY GROUPING SETS ((rung, file), (rung))""")
+def rung_agreement(s, d):
+    """Two rungs against one reference: the gazetteer, and the mentions of an earlier run."""
+    found = {"1": gaz_found(s, d).withColumnRenamed("resume_id", "file"), "2": _sides(s, d)[0]}
+    return ladder.compared(found, _sides(s, d)[1])
+
+
+@query(f"""WITH {ROLES} SELECT (SELECT count(DISTINCT skill_id) FROM skill) AS n_skills, (SELECT count(DISTINCT role_id) FROM role_skill) AS n_roles,
+(SELECT count(*) FROM skill_alias) AS n_aliases""")
+def tax_counts(s, d):
+    return taxonomy.counts(_skills(s, d), _aliases(s, d), _roles(s, d))
+
+
 # --- Intake -------------------------------------------------------------------------------
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
 def hash_docs(s, d):

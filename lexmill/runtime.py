@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def session(name: str = "lexmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,21 +36,43 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one if unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master has a temporary one, which ends with the process; on a cluster
+    that is an error, because executors would write to their own disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _own.setdefault("dir", tempfile.mkdtemp(prefix="lexmill-"))
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+    return _own["dir"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, executors may be lost."""
+    """``df`` written to the shared folder and read again: lineage is cut, executors may be lost.
+
+    ``forget`` deletes what a session has written; until then the result may be read again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this session has written; their number. Call it when results are stored."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def take_bounded(df: DataFrame, limit: int, what: str) -> list:
     """All rows of a table that must be small; fails, without dropping any, if it is not."""
     rows = df.limit(limit + 1).collect()
@@ -56,7 +82,10 @@ def take_bounded(df: DataFrame, limit: int, what: str) -> list:
 
 
 def small(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """``df`` marked for broadcast after its rows were counted; beyond ``limit`` it is left to the planner."""
+    """``df`` marked for broadcast after its rows were counted; beyond ``limit`` it is left to the planner.
+
+    ``what`` names the table for readers of the call.
+    """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

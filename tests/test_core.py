@@ -283,8 +283,27 @@ def test_streams(spark, tmp_path):
     assert spark.table("q_f").count() == 2
 
 
-def test_entry_without_the_corpus_package():
+def test_entry_without_the_corpus_package(monkeypatch):
+    import sys
+
     import __spark_entry__ as entry
     from lexmill.plans import catalog
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    monkeypatch.setitem(sys.modules, "lexmill.llm", None)  # as if it could not be imported
+    monkeypatch.delitem(sys.modules, "lexmill.llm.queries", raising=False)
+    assert entry.queries() == catalog.QUERIES and entry.oracle_sql() == catalog.SQL
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from lexmill import runtime
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.shared_dir(cluster)
+    runtime.forget(spark)
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert runtime.written(spark.range(3), "x").count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert runtime.forget(spark) == 1 and not list(tmp_path.iterdir())

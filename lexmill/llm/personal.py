@@ -12,6 +12,7 @@ only; values are cut from the text as stored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ from lexmill.llm import lookalike
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 THRESHOLD = 0.5
+#: Characters of an e-mail address before its sign: the standard allows no more.
+LOCAL_MOST = 64
 # A letter, or a sign that a wrong decoding has put in the place of one.
 L = r"[^\x00-@\[-`{-\x7f\xa0×‐-⁞\u2000-\u200f\u2028-\u202f\u3000]"
 WORD = rf"{L}+(?:['’]{L}+)?"
@@ -57,9 +60,9 @@ PHONE_CUE = re.compile(r"(?:phone|mobile|mob\.?|tel\.?|telephone|call|cell|fax|d
 NOT_PHONE = re.compile(r"(?<![^\W_])(?:order|batch|pallet|room|release|version|standard|code|grid|ratio|invoice|ticket|item|below|saving|no\.?|number|#)(?![^\W_])\W*[\w./\-]*\W*$", re.I)
 
 ID_ANCHORS = ("passport", "ssn", "social", "personnummer", "tax", "national", "identity", "insurance", "id", "steuer",
-              "nino", "cpf", "personal", "identification")
+              "nino", "cpf", "personal", "identification", "iban", "account", "card")
 ID_LABEL = re.compile(
-    r"(?:passport|ssn|social\s+security|personnummer|tax\s+(?=n|id)|national\s+id\w*|identity\s+(?:no|n[ru]|card)|insurance\s+(?=n)|"
+    r"(?:passport|ssn|social\s+security|personnummer|tax\s+(?=n|id)|national\s+id\w*|national\s+insurance|identity\s+(?:no|n[ru]|card)|insurance\s+(?=n)|iban|"
     r"id\s+(?:card|no)|steuer\w*|nino|cpf|personal\s+number|identification\s+n\w*)",
     re.I,
 )
@@ -74,6 +77,8 @@ IDS = [
     (re.compile(r"[a-z]{2}\d{2}(?:[ ]?[a-z0-9]{4}){3,7}(?:[ ]?[a-z0-9]{1,3})?(?!\w)", re.I), "iban"),
     (re.compile(r"[a-z]{0,3}\d[\d.\-/ ]{4,14}\d[a-z]?(?!\w)", re.I), "other"),
 ]
+IBAN = re.compile(r"(?<![\w])[a-z]{2}\d{2}(?:[ ]?[a-z0-9]{4}){2,7}(?:[ ]?[a-z0-9]{1,3})?(?!\w)", re.I)
+CARD = re.compile(r"(?<![\w.+/\-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w\-/])")
 FREE_IDS = re.compile(r"(?<![\w.+/\-])(?:\d{6}-\d{4}|\d{3}\.\d{3}\.\d{2}-\d)(?![\w\-/])")
 
 TOWN = rf"(?:(?:neu|bad|sankt|saint|st\.?|new|great|little|upper|lower|north|south|east|west)\s+)?{L}+(?:[-'’]{L}+)*"
@@ -95,6 +100,15 @@ FRENCH = re.compile(
     rf"(?:{L}[^\s,;]*\s+){{0,4}}{L}[^\s,;]*{GAP}\d{{5}}\s+{TOWN}",
     re.I,
 )
+#: The way first, then the house: Italian, Spanish, Portuguese; and Dutch ways that end in their kind.
+ROMANCE = re.compile(
+    rf"(?<![^\W_])(?:via|viale|piazza|corso|vicolo|calle|avenida|avda\.|plaza|paseo|camino|rua|travessa|pra[çc]a|largo)\s+"
+    rf"(?:{L}[^\s,;]*\s+){{0,4}}{L}[^\s,;]*[ ,]+\d{{1,4}}(?:\s?[a-z])?{GAP}\d{{4,5}}(?:-\d{{3}})?\s+{TOWN}",
+    re.I,
+)
+DUTCH = re.compile(rf"(?<![^\W_]){L}+(?:straat|laan|plein|gracht|kade|dijk)\s+\d{{1,4}}(?:\s?[a-z])?{GAP}\d{{4}}\s?[a-z]{{2}}\s+{TOWN}", re.I)
+ROMANCE_ANCHORS = ("via ", "viale ", "piazza ", "corso ", "vicolo ", "calle ", "avenida ", "avda. ", "plaza ", "paseo ", "camino ", "rua ", "travessa ", "praça ", "praca ", "largo ")
+DUTCH_ANCHORS = ("straat ", "laan ", "plein ", "gracht ", "kade ", "dijk ")
 GERMAN_TAIL = re.compile(rf"\d{{1,4}}(?:\s?[a-z])?{GAP}\d{{5}}\s+{TOWN}", re.I)
 GERMAN_BACK = re.compile(
     rf"(?:(?:am|an|auf|im|in|zum|zur|unter)(?:\s+(?:der|dem|den))?\s+)?{L}+"
@@ -128,6 +142,19 @@ NO_NAME = frozenset(
     "you works head heads staff board team teams clients customers at in on of to for with contact profile skills experience "
     "projects education languages references name and by from new several many".split()
 )
+#: Words of firms and places: what has one is no person.
+FIRM = frozenset(
+    "ltd limited inc llc plc gmbh ag sa group partners associates surveyors logistics services systems solutions council university school "
+    "college hospital clinic bank trust foundation institute department team office company agency committee ministry centre center "
+    "street road lane avenue park house".split()
+)
+#: Roles that a colon, or the end of the line before, makes a label of the name after them.
+LABEL = re.compile(
+    r"(?<![^\W_])(?:signed|signature|author|manager|supervisor|mentor|tutor|coach|witness|contact person|contact name|full name|prepared (?:by|for)|attention|attn)[ \t]*$"
+)
+AFTER_LABEL = re.compile(rf"[ \t]*(?:{TITLES}[ \t]+){{0,2}}", re.I)
+DONE = re.compile(r"(?<![^\W_])(?:[^\W\d_]+ed|led|taught|written|overseen|run|driven|chosen|known)\s+$")
+CAPITAL = re.compile(r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’\-][^\W\d_]+)*")
 LOWER_WORDS = frozenset("on for since at in and with from to".split())
 # -------------------------------------------------------------------------------------------
 
@@ -183,19 +210,19 @@ def find(text: str) -> list[tuple[int, int, str]]:
     low = plain.lower()
     if len(low) != len(plain):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order of place, without overlaps
 
     def take(i: int, j: int, kind: str) -> None:
-        if not any(i < b and j > a for a, b, _ in taken):
-            taken.append((i, j, kind))
+        k = bisect_left(taken, (i, j, kind))
+        if (not k or taken[k - 1][1] <= i) and (k == len(taken) or taken[k][0] >= j):
+            insort(taken, (i, j, kind))
 
-    _emails(plain, low, take)
-    _ids(plain, low, take)
     spans = [m.span() for m in NUMBER.finditer(plain)]
+    _emails(plain, low, take)
+    _ids(plain, low, spans, take)
     _addresses(plain, low, take)
     _phones(plain, spans, take)
     _names(plain, low, take)
-    taken.sort()
     if at is None:
         return taken
     out = []
@@ -220,7 +247,7 @@ def _emails(text: str, low: str, take) -> None:
             k = i
             while k and low[k - 1].isspace():
                 k -= 1
-            start = LOCAL_BACK.search(text, max(0, k - 80), k).start()
+            start = LOCAL_BACK.search(text, max(0, k - LOCAL_MOST), k).start()
             while start < k and text[start] in ".+-_":
                 start += 1
             m = EMAIL.match(text, start) if start < k else None
@@ -228,7 +255,7 @@ def _emails(text: str, low: str, take) -> None:
                 take(m.start(), m.end(), "email")
 
 
-def _ids(text: str, low: str, take) -> None:
+def _ids(text: str, low: str, spans: list[tuple[int, int]], take) -> None:
     for anchor in ID_ANCHORS:
         for i in _all(low, anchor):
             if i and low[i - 1].isalnum() or not (label := ID_LABEL.match(text, i)):
@@ -237,23 +264,44 @@ def _ids(text: str, low: str, take) -> None:
             for pattern, check in IDS:
                 m = pattern.match(text, begin)
                 if m:
-                    if 0.7 + _checked(m[0], check) >= THRESHOLD:
+                    if LABELLED + _checked(m[0], check) >= THRESHOLD:
                         take(m.start(), m.end(), "id_number")
                     break
-    for m in FREE_IDS.finditer(text):  # without a label only a right check digit counts
+    free = [(m, "luhn" if m[0][6] == "-" else "dotted") for m in FREE_IDS.finditer(text)]
+    for i, j in spans:
+        if j - i >= 13 and (m := CARD.match(text, i)):
+            free.append((m, "card"))
+        if i > 1 and text[i - 2 : i].isalpha() and (m := IBAN.match(text, i - 2)):
+            free.append((m, "iban"))
+    for m, check in free:  # without a label only a right check digit counts
         before = text[max(0, m.start() - 24) : m.start()]
-        if _checked(m[0], "luhn" if m[0][6] == "-" else "dotted") > 0 and not NOT_PHONE.search(before):
+        score = FREE + _checked(m[0], check) - (0.5 if NOT_PHONE.search(before) else 0.0)
+        if score >= THRESHOLD:
             take(m.start(), m.end(), "id_number")
 
 
+#: Scores before the check digits: after a label, and without one.
+LABELLED, FREE = 0.7, 0.3
+
+
 def _checked(value: str, check: str) -> float:
+    """What the validator of a format adds to the score of a value.
+
+    International account numbers always have a right check, so a wrong one rejects; the other formats are
+    also written with typing errors or made-up digits, so there a wrong one only lowers the score, which a
+    label outweighs. One digit repeated is no number of anyone.
+    """
     digits = re.sub(r"\D", "", value)
+    if len(set(digits)) == 1:
+        return -0.5
     if check == "luhn":
-        return 0.3 if luhn(digits[-10:]) else -0.1
+        return 0.3 if luhn(digits[-10:]) else -0.15
+    if check == "card":
+        return 0.3 if 13 <= len(digits) <= 19 and luhn(digits) else -0.5
     if check == "dotted":
-        return 0.3 if mod11(digits) else -0.1
+        return 0.3 if mod11(digits) else -0.15
     if check == "iban":
-        return 0.3 if mod97(value) else -0.1
+        return 0.3 if 15 <= len(re.sub(r"\s", "", value)) <= 34 and mod97(value) else -0.5
     if check == "other":
         return -0.1 if 6 <= len(digits) <= 14 else -0.5
     return 0.0
@@ -270,6 +318,17 @@ def _addresses(text: str, low: str, take) -> None:
         m = BOX.match(text, i)
         if m:
             take(m.start(), m.end(), "address")
+    for anchor in ROMANCE_ANCHORS:
+        for i in _all(low, anchor):
+            if m := ROMANCE.match(text, i):
+                take(m.start(), m.end(), "address")
+    for anchor in DUTCH_ANCHORS:
+        for i in _all(low, anchor):
+            k = i
+            while k and low[k - 1].isalpha():
+                k -= 1
+            if m := DUTCH.match(text, k):
+                take(m.start(), m.end(), "address")
     for m in _HOUSE.finditer(text):
         i = m.start()
         found = STREET.match(text, i) or FRENCH.match(text, i)
@@ -311,25 +370,49 @@ def _phones(text: str, spans: list[tuple[int, int]], take) -> None:
 
 
 def _names(text: str, low: str, take) -> None:
-    starts = {m.end() for m in NAME_FIELD.finditer(text)} if "name" in low else set()
+    """Each place where a name may begin has the score of its context; what stands there adds to it or takes from it."""
+    starts: dict[int, float] = {}
+
+    def offer(i: int, score: float) -> None:
+        starts[i] = max(score, starts.get(i, 0.0))
+
+    if "name" in low:
+        for m in NAME_FIELD.finditer(text):
+            offer(m.end(), 0.8)
     for anchor, cues in CUE_ENDS.items():
         n = len(anchor)
         for i in _all(low, anchor):
             if i and low[i - 1].isalpha() or not low[i + n : i + n + 1].isspace():
                 continue
             if " ".join(low[max(0, i - 32) : i + n].split()).endswith(cues) and (m := SKIP.match(text, i + n)):
-                starts.add(m.end())
+                offer(m.end(), 0.8)
     for title in ("dr", "prof", "ms", "mr", "mrs", "miss", "herr", "frau"):
         n = len(title)
         for i in _all(low, title):
             if not (i and low[i - 1].isalpha()) and low[i + n : i + n + 1] in (".", " ", "\t", "\n") and (m := TITLED.match(text, i)):
-                starts.add(m.end())
-    for i in sorted(starts):
+                offer(m.end(), 0.8)
+    for i in _all(low, "by"):
+        if low[i + 2 : i + 3].isspace() and i and low[i - 1].isspace() and DONE.search(low, max(0, i - 24), i) and (m := SKIP.match(text, i + 2)):
+            offer(m.end(), 0.4)
+    for i in _all(low, ":"):
+        if LABEL.search(low, max(0, i - 24), i) and (m := AFTER_LABEL.match(text, i + 1)):
+            offer(m.end(), 0.4)
+    for i, score in sorted(starts.items()):
         m = NAME.match(text, i)
-        if m and (got := _name_end(m[0])):
+        if m and (got := _name_end(m[0])) and score + _person(text, i, got) >= THRESHOLD:
             take(i, i + got, "name")
 
 
+def _person(text: str, i: int, n: int) -> float:
+    """What speaks for a person: words that begin with capitals, two or three of them, and none of a firm or place."""
+    words = re.findall(r"[^\s,]+", text[i : i + n])
+    after = re.match(r"[ \t]+(?:&[ \t]*)?([^\W_]+)", text[i + n : i + n + 24])
+    score = 0.2 if 2 <= len(words) <= 4 and CAPITAL.match(words[0]) and CAPITAL.match(words[-1]) and not words[-1].isupper() else -0.2
+    if {w.lower().rstrip(".") for w in words} & FIRM or after and (after[1].lower() in FIRM or after[1][:1].isupper() and not text[i : i + n].isupper()):
+        score -= 0.3
+    return score
+
+
 def _name_end(value: str) -> int:
     """Length of the name in a proposed span; 0 if it is none."""
     words = re.findall(r"[^\s,]+", value.lower())

@@ -27,7 +27,7 @@ STRICT = (
 # ... and letters that pass for one only inside a Latin word.
 LOOSE = ("αγικρτυχωкмнтгпивоԍɡɑ", "ayikptuxwkmhtrnubogga")
 #: Characters that never are a case; a text of only these is not looked at.
-HARMLESS = "\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u017f•–—‘’“”„…€™"
+HARMLESS = "\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u0131\\u0134-\\u0148\\u014a-\\u017f•–—‘’“”„…€™"
 SUSPECT = f"[^{HARMLESS}]"
 FOLDED_TAGS = ("<font>", "<wide>", "<narrow>", "<circle>", "<initial>", "<medial>", "<final>", "<isolated>")
 LETTER, ALIKE, LOOSELY, OTHER = 1, 2, 3, 4
@@ -48,7 +48,8 @@ class Tables:
         size = sys.maxunicode + 1
         self.fold = np.arange(size, dtype=np.uint32)  # first character of the fold
         self.length = np.ones(size, dtype=np.uint8)  # characters of the fold, 0 for invisible ones
-        self.more: dict[int, str] = {}  # folds of more than one character
+        self.more: dict[int, str] = {}  # folds of more than one character, and where each begins in one array of them all
+        self.begin = np.zeros(size, dtype=np.int32)
         self.kind = np.zeros(size, dtype=np.uint8)
         self.mark = np.zeros(size, dtype=bool)
         self.joiner = np.zeros(size, dtype=bool)  # scripts and signs in which joiners have a meaning
@@ -93,6 +94,11 @@ class Tables:
             self.latin[[*map(ord, a)]] = [*map(ord, b)]
         self.joiner[0x600:0x1100] = self.joiner[0x1800:0x18B0] = self.joiner[0x1F000:0x1FB00] = True
         self.joiner[0x2600:0x27C0] = self.joiner[0xFE0F] = self.joiner[0xA800:0xAC00] = True
+        at = 0
+        for cp, to in self.more.items():
+            self.begin[cp] = at
+            at += len(to)
+        self.long = np.array([ord(c) for to in self.more.values() for c in to], dtype=np.uint32)
         self.pairs = np.array(sorted(pairs), dtype=np.uint64)
         self.composed = np.array([pairs[k] for k in sorted(pairs)], dtype=np.uint32)
 
@@ -156,8 +162,11 @@ def unify(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     touched |= _by_row((folded != points) | (length != 1), bounds)
     start = np.concatenate([[0], np.cumsum(length)])
     out = np.repeat(folded, length)
-    for k in np.flatnonzero(length > 1):
-        out[start[k] : start[k + 1]] = [*map(ord, t.more[int(points[k])])]
+    wide = np.flatnonzero(length > 1)
+    if len(wide):
+        n = length[wide]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(start[wide], n) + step] = t.long[np.repeat(t.begin[points[wide]], n) + step]
     points, bounds = out, start[bounds]
     # Compose accents with the letter before them.
     head = np.zeros(len(points) + 1, dtype=bool)

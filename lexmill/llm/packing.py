@@ -24,7 +24,8 @@ SHARD_ROWS, SHARD_CHARS = 4096, 24_000_000
 #: Rows that the table of capacities may have.
 MAX_CAPACITIES = 1000
 K1, B = 1.2, 0.75
-QUERY_TERMS = 10
+#: Parameters of the search, not of what is packed: terms of a query (the rarest ones), neighbours that are looked at.
+QUERY_TERMS, NEIGHBOURS = 10, 24
 TERM = re.compile(r"[^\W_]{3,}")
 
 
@@ -58,7 +59,7 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, i: int, unused: np.ndarray, most: int) -> np.ndarray:
-        """Up to ``most`` unused texts by falling BM25 score for the rarest shared terms of text ``i``."""
+        """Up to ``most`` unused texts by falling BM25 score for the ``QUERY_TERMS`` rarest shared terms of text ``i``."""
         own = self.own[i]
         own = own[self.df[own] > 1]
         if not len(own):
@@ -105,8 +106,15 @@ class Lengths:
         return int(self.order[p - 1]) if p else -1
 
 
-def pack(index: Index, lengths: np.ndarray, capacity: int, most: int = 24) -> list[tuple[int, int, int, int]]:
-    """(item, part, size, container) of a shard's texts; containers count from 0."""
+def pack(index: Index, lengths: np.ndarray, capacity: int, most: int = NEIGHBOURS) -> list[tuple[int, int, int, int]]:
+    """(item, part, size, container) of a shard's texts; containers count from 0.
+
+    The filling is done with each share of ``SPARE``; the one with the fewest containers counts.
+    """
+    return min((_pack(index, lengths, capacity, most, spare) for spare in SPARE), key=lambda got: max((x[3] for x in got), default=0))
+
+
+def _pack(index: Index, lengths: np.ndarray, capacity: int, most: int, spare: float) -> list[tuple[int, int, int, int]]:
     out: list[tuple[int, int, int, int]] = []
     box = 0
     rest = lengths.copy()
@@ -133,7 +141,7 @@ def pack(index: Index, lengths: np.ndarray, capacity: int, most: int = 24) -> li
             # Neighbours fill the window as long as a further text can follow or they close it well.
             for j in index.neighbours(seed, unused, most).tolist():
                 n = sizes[j]
-                if n <= room and (room - n >= SPARE * capacity or room - n <= CLOSE * capacity):
+                if n <= room and (room - n >= spare * capacity or room - n <= CLOSE * capacity):
                     chosen.append(j)
                     unused[j] = False
                     left.use(j)
@@ -152,8 +160,8 @@ def pack(index: Index, lengths: np.ndarray, capacity: int, most: int = 24) -> li
     return out
 
 
-#: Room, as a share of the capacity, that a neighbour must leave for a last item, or may waste.
-SPARE, CLOSE = 0.2, 0.01
+#: Room, as a share of the capacity, that a neighbour must leave for a last item (several are tried), or may waste.
+SPARE, CLOSE = (0.2, 0.3, 0.5), 0.01
 
 
 def batches(texts: DataFrame, capacities: DataFrame, key: str = "resume_id", text: str = "text",
@@ -214,6 +222,13 @@ def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
         yield keys, values
 
 
+def sums(packed: DataFrame, capacities: DataFrame, key: str = "resume_id", model: str = "model", capacity: str = "char_budget") -> DataFrame:
+    """(model, n_texts, n_chars, n_over): what lies in containers, and containers that hold more than they may."""
+    texts = packed.groupBy(model).agg(F.count(F.when(F.col("part") == 0, 1)).alias("n_texts"), F.sum("n_chars").alias("n_chars"))
+    full = packed.groupBy(model, "batch_index").agg(F.sum("n_chars").alias("n")).join(capacities.select(model, F.col(capacity).alias("__most")), model)
+    return texts.join(full.groupBy(model).agg(F.count(F.when(F.col("n") > F.col("__most"), 1)).alias("n_over")), model)
+
+
 def split(packed: DataFrame, model: str = "model", key: str = "resume_id") -> DataFrame:
     """(model, key) of the texts that had to be split."""
     return packed.where("n_parts > 1 and part = 0").select(model, key)

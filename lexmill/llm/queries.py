@@ -24,6 +24,10 @@ def p2_found(spark, d):
     return packing.split(p2_batches(spark, d))
 
 
+def p2_sums(spark, d):
+    return packing.sums(p2_batches(spark, d), table(spark, d, "mining_budget"))
+
+
 def p3_findings(spark, d):
     return personal.findings(table(spark, d, "corpus_resume"))
 
@@ -79,6 +83,11 @@ def p7_ids(spark, d):
     return tokens.encoded(table(spark, d, "documents"))
 
 
+def p7_empty(spark, d):
+    """The documents without a token."""
+    return p7_ids(spark, d).where("size(ids) = 0").select("doc_id")
+
+
 def p8_leaks(spark, d):
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -110,6 +119,9 @@ g AS (SELECT resume_id, min(resume_id) OVER (PARTITION BY canon) AS keep_id FROM
 def oracle_sql():
     return {
         "p2_found": "SELECT model, resume_id FROM corpus_resume CROSS JOIN mining_budget WHERE length(text) > char_budget",
+        "p2_sums": "SELECT model, count(*) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_over FROM corpus_resume CROSS JOIN mining_budget "
+        "WHERE text IS NOT NULL GROUP BY model",
+        "p7_empty": "SELECT doc_id FROM documents WHERE coalesce(text, '') = ''",
         "p4_found": _COPIES + " SELECT keep_id, resume_id AS dup_id FROM g WHERE resume_id <> keep_id",
         "p4_records": _COPIES + " SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
     }

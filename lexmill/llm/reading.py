@@ -8,7 +8,7 @@ grades of its known words, each calibrated against the sample by monotone regres
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,24 +59,37 @@ def fit(sample: DataFrame, text: str = "text", level: str = "reading_level") ->
     place = {v: i for i, v in enumerate(levels)}
     use: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(levels)))
     size = np.zeros(len(levels))
+    counted = []
     for t, v in rows:
-        words = WORD.findall(t.lower())
-        size[place[v]] += len(words)
-        for w in words:
-            use[w][place[v]] += 1
-    grades = {}
-    for w, n in use.items():
-        share = n / np.maximum(size, 1)
-        reached = np.cumsum(share) / share.sum()
-        grades[w] = float(levels[int(np.searchsorted(reached, ACQUIRED))])
-    scale = Scale(grades, [], max(levels, default=0))
-    found = [(scale.features(t)[0], v) for t, v in rows]
-    found = [(q, v) for q, v in found if q is not None]
+        words = Counter(WORD.findall(t.lower()))
+        counted.append((words, v))
+        size[place[v]] += words.total()
+        for w, n in words.items():
+            use[w][place[v]] += n
+    scale = Scale({w: _grade(n, size, levels) for w, n in use.items()}, [], max(levels, default=0))
+    # The knots are fitted to each text by the grades that the other texts give its words.
+    found = []
+    for words, v in counted:
+        rest, known = size.copy(), []
+        rest[place[v]] -= words.total()
+        for w, n in words.items():
+            others = use[w].copy()
+            others[place[v]] -= n
+            if others.sum() > 0:
+                known += [_grade(others, rest, levels)] * n
+        if known:
+            found.append((np.quantile(known, QUANTILES), v))
     for i in range(len(QUANTILES)):
         scale.knots.append(_monotone(np.array([q[i] for q, _ in found]), np.array([v for _, v in found], float)))
     return scale
 
 
+def _grade(use: np.ndarray, size: np.ndarray, levels: list) -> float:
+    """The level at which the share ``ACQUIRED`` of a word's use, per word of text of a level, is reached."""
+    share = use / np.maximum(size, 1)
+    return float(levels[int(np.searchsorted(np.cumsum(share) / share.sum(), ACQUIRED))])
+
+
 def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares nondecreasing map from x to y (pool adjacent violators)."""
     if not len(x):

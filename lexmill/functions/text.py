@@ -16,28 +16,27 @@ TOKEN = (
 )
 
 
+#: Signs that no text has; a match is put between them.
+OPEN, SHUT = "\ufdd0", "\ufdd1"
+
+
 def matches(text: Column, pattern: str, kind: str | Column) -> Column:
-    """All matches of ``pattern`` as (start, end, kind, value), offsets in code points, end exclusive."""
+    """All matches of ``pattern`` as (start, end, kind, value), offsets in code points, end exclusive.
+
+    One pass of the pattern over the text: matches are marked in it, and the marked text is cut at the
+    marks. The pattern must not match nothing.
+    """
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    values = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.split(text, rx, -1)
-    parts = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
-    step = lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(
-        F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).cast("int").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(
-                    (acc["at"] + F.length(x["gap"])).cast("int").alias("start"),
-                    (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).cast("int").alias("end"),
-                    kind.alias("kind"), x["value"].alias("value"),
-                )),
-            ).alias("out"),
-        )
+    own = F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(SHUT)), F.translate(text, OPEN + SHUT, "\ufffd\ufffd")).otherwise(text)
+    parts = F.split(F.regexp_replace(own, rx, F.lit(f"{OPEN}$0{SHUT}")), f"[{OPEN}{SHUT}]")
+    step = lambda acc, x: F.struct(  # noqa: E731  every other part is a match
+        (~acc["inside"]).alias("inside"), (acc["at"] + F.length(x)).cast("int").alias("at"),
+        F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(
+            acc["at"].alias("start"), (acc["at"] + F.length(x)).cast("int").alias("end"), kind.alias("kind"), x.alias("value"))))).otherwise(acc["out"]).alias("out"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
-    return F.when(text.rlike(pattern) if isinstance(pattern, str) else F.size(values) > 0, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(MATCH))
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    return F.coalesce(F.aggregate(parts, start, step)["out"], F.array().cast(MATCH))
 
 
 def first_come(found: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import escape, first_come, matches, replace_spans
+from lexmill.functions.text import MATCH, escape, first_come, matches, replace_spans
 from lexmill.runtime import small
 
 #: Phrases that are sent to every executor; a longer list is left to the planner.
@@ -35,6 +35,11 @@ PATTERNS = (
         r"|(?:(?<!\d)\(?\d{3}\)?(?:[\s.-]?\d){7}(?!\d))",
     ),
 )
+#: What a text must have for a pattern to be tried at all.
+ANCHORS = {
+    "mailto": "@", "email": "@", "linkedin": r"(?i)linkedin\.com/in/", "linkedin_shorthand": r"(?i)linkedin|in/", "github": r"(?i)github\.com/",
+    "github_shorthand": r"(?i)github/", "url": "://", "domain": r"(?i)\.(?:com|dev|io|tech|me|net|org|xyz|in|co)", "phone": r"\d[^\n]{5,}\d",
+}
 PLACEHOLDER = {
     "email": "[EMAIL]", "mailto": "[EMAIL]", "phone": "[PHONE]", "linkedin": "[LINKEDIN]", "linkedin_shorthand": "[LINKEDIN]",
     "github": "[GITHUB]", "github_shorthand": "[GITHUB]", "url": "[URL]", "domain": "[URL]", "name": "[NAME]",
@@ -42,9 +47,16 @@ PLACEHOLDER = {
 NOTHING = r"(?!)"
 
 
+def kind_matches(text: Column, kind: str) -> Column:
+    """The matches of one kind; the pattern is only tried where its anchor is."""
+    anchor = ANCHORS[kind]
+    there = text.rlike(anchor) if kind not in ("mailto", "email", "url") else F.contains(text, F.lit(anchor))
+    return F.when(there, matches(text, dict(PATTERNS)[kind], kind)).otherwise(F.array().cast(MATCH))
+
+
 def found(text: Column, name_pattern: Column | None = None) -> Column:
     """The accepted matches of a text, sorted by start; names come last and win no overlap."""
-    parts = [matches(text, p, k) for k, p in PATTERNS]
+    parts = [kind_matches(text, k) for k, _ in PATTERNS]
     if name_pattern is not None:
         parts.append(matches(text, F.coalesce(name_pattern, F.lit(NOTHING)), "name"))
     return F.when(text.isNotNull(), first_come(F.concat(*parts)))
@@ -82,16 +94,22 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(text.isNotNull(), replace_spans(text, spans, lambda m: labels[m["kind"]]))
 
 
+def tally(spans: Column) -> Column:
+    """(kind, n) of an array of matches, in order of kind; from the array itself, so nothing is shuffled."""
+    kinds = F.array_sort(F.array_distinct(F.transform(spans, lambda m: m["kind"])))
+    return F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.size(F.filter(spans, lambda m: m["kind"] == k)).cast("long").alias("n")))
+
+
 def counts(scanned: DataFrame, key: str = "resume_id") -> DataFrame:
-    return exploded(scanned, key).groupBy(key, "kind").agg(F.count("*").alias("n"))
+    """(key, kind, n) of each text."""
+    return scanned.select(key, F.explode(tally(F.col("found"))).alias("x")).select(key, "x.kind", "x.n")
 
 
 def detail(scanned: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, n, detail) with ``kind=n`` parts in order of kind; ``none`` where nothing was found."""
-    n = counts(scanned, key).groupBy(key).agg(
-        F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "kind", "n"))), ", ").alias("detail"))
-    return scanned.select(key).join(n, key, "left").select(
-        key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("detail", F.lit("none")).alias("detail"))
+    n = F.coalesce(F.size("found"), F.lit(0))
+    parts = F.array_join(F.transform(tally(F.col("found")), lambda x: F.concat_ws("=", x["kind"], x["n"])), ", ")
+    return scanned.select(key, F.greatest(n, F.lit(0)).cast("long").alias("n"), F.when(n > 0, parts).otherwise("none").alias("detail"))
 
 
 def rescan_gate(scanned: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:

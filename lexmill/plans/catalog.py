@@ -311,9 +311,8 @@ def vec_found(s, d):
 
 # --- Contact data -------------------------------------------------------------------------
 def _matched(s, d, kind):
-    pattern = dict(pii.PATTERNS)[kind]
-    hit = F.explode(T.matches(F.col("text"), pattern, kind)).alias("m")
-    return _resumes(s, d).where(F.col("text").rlike(pattern)).select("resume_id", hit).select("resume_id", "m.value", "m.start", "m.end")
+    hit = F.explode(pii.kind_matches(F.col("text"), kind)).alias("m")
+    return _resumes(s, d).select("resume_id", hit).select("resume_id", "m.value", "m.start", "m.end")
 
 
 @query(r"""SELECT resume_id, value, count(*) AS n FROM (SELECT resume_id, unnest(regexp_extract_all(text,
@@ -326,17 +325,22 @@ def pii_email(s, d):
 '(?i)https?://[^\s)>\]]+')) AS value FROM provenance) GROUP BY 1, 2""")
 def pii_url(s, d):
     p = table(s, d, "provenance")
-    hit = F.explode(T.matches(F.col("source_url"), dict(pii.PATTERNS)["url"], "url")).alias("m")
+    hit = F.explode(pii.kind_matches(F.col("source_url"), "url")).alias("m")
     return p.select("resume_id", hit).groupBy("resume_id", F.col("m.value").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT resume_id, value FROM (SELECT resume_id, unnest(regexp_extract_all(t, '(?i)(?:https?://)?(?:www\.)?(?:linkedin\.com/in|github\.com)/[A-Za-z0-9_-]+/?')) AS value
-FROM (SELECT resume_id, 'See https://www.linkedin.com/in/' || resume_id || ' and github.com/' || resume_id AS t FROM corpus_resume))""")
+@query(r"""WITH t AS (SELECT resume_id, coalesce(text, '') || ' https://www.linkedin.com/in/' || resume_id || ' ' || coalesce(source_url, '') || ' github.com/' || resume_id AS t
+FROM corpus_resume JOIN provenance USING (resume_id))
+SELECT resume_id, 'linkedin' AS kind, unnest(regexp_extract_all(t, '(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[A-Za-z0-9_-]+/?')) AS value FROM t
+UNION ALL SELECT resume_id, 'github', unnest(regexp_extract_all(t, '(?i)(?:https?://)?(?:www\.)?github\.com/[A-Za-z0-9_-]+/?')) FROM t""")
 def pii_social(s, d):
-    t = _resumes(s, d).select("resume_id", F.concat(
-        F.lit("See https://www.linkedin.com/in/"), "resume_id", F.lit(" and github.com/"), "resume_id").alias("t"))
-    two = F.concat(*[T.matches(F.col("t"), dict(pii.PATTERNS)[k], k) for k in ("linkedin", "github")])
-    return t.select("resume_id", F.explode(two).alias("m")).select("resume_id", "m.value")
+    """Profile addresses in texts and sources, with one of each made of the id, as the tables have none."""
+    both = _resumes(s, d).select("resume_id", "text").join(table(s, d, "provenance").select("resume_id", "source_url"), "resume_id")
+    blank = F.lit("")
+    t = both.select("resume_id", F.concat(F.coalesce("text", blank), F.lit(" https://www.linkedin.com/in/"), "resume_id", F.lit(" "), F.coalesce("source_url", blank),
+                                          F.lit(" github.com/"), "resume_id").alias("t"))
+    two = F.concat(*[pii.kind_matches(F.col("t"), k) for k in ("linkedin", "github")])
+    return t.select("resume_id", F.explode(two).alias("m")).select("resume_id", "m.kind", "m.value")
 
 
 def _scan(s, d):
@@ -384,7 +388,8 @@ def pii_header(s, d):
 
 @query()
 def pii_overmatch(s, d):
-    return pii.overmatched(_scan(s, d), limit=5)
+    """Texts in which the found values occur more than twice; the limit of a real run is that of the operator."""
+    return pii.overmatched(_scan(s, d), limit=2)
 
 
 @query()
@@ -428,7 +433,11 @@ def run_overlap(s, d):
     return got.select("par_id", "run_ix", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "first")
 
 
-@query()
+@query(RUNS + r""", two AS (SELECT par_id, ms, me, '[EMAIL]' AS put FROM m UNION ALL SELECT par_id, position(v IN t) - 1, position(v IN t) - 1 + length(v), '[PHONE]'
+ FROM (SELECT par_id, t, regexp_extract(t, '\+\d{1,3}(?:[\s().-]?\d){6,12}') AS v FROM p)),
+c AS (SELECT par_id, run_ix, s + i AS pos, substring(text, CAST(i AS INT) + 1, 1) AS c FROM r, unnest(range(length(text))) AS g(i))
+SELECT c.par_id, run_ix, string_agg(CASE WHEN ms IS NULL THEN c WHEN pos = ms THEN put ELSE '' END, '' ORDER BY pos) AS text
+FROM c LEFT JOIN two ON two.par_id = c.par_id AND pos >= ms AND pos < me GROUP BY 1, 2""")
 def run_redact(s, d):
     return runs.redact(runs.offsets(_runs(s, d)), _run_matches(s, d), pii.PLACEHOLDER)
 

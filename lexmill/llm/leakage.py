@@ -48,7 +48,7 @@ class Rule:
     pairs: int = 4  # neighbouring words of a window that must stand side by side in some item
     walks: int = 8
     positions: int = 5
-    drift: int = 3  # diagonals beside that of two windows that met
+    drift: int = 1  # diagonals beside that of two windows that met
     seed: int = 17
 
 
@@ -214,11 +214,11 @@ class Items:
         ``way`` is 1 for what follows the meeting, -1 for what precedes it.
         """
         width = 2 * (drift + most) + 1
-        shift = np.arange(width) - drift - most  # passage words less document words
-        room = ((end - start) * way)[:, None]
-        left = ((last - place) * way)[:, None]
+        shift = np.arange(width, dtype=np.int32) - np.int32(drift + most)  # passage words less document words
+        room = ((end - start) * way)[:, None].astype(np.int32)
+        left = ((last - place) * way)[:, None].astype(np.int32)
         off = 0 if way > 0 else -1
-        used = np.where(np.abs(shift) <= drift, np.maximum(shift, 0), -9_999)[None, :].repeat(len(start), 0)
+        used = np.where(np.abs(shift) <= drift, np.maximum(shift, 0), np.int32(-9_999))[None, :].repeat(len(start), 0)
         d0, p0 = (start + off)[:, None], (place + off)[:, None]
         out = np.zeros((most + 1, len(start)), dtype=np.int64)
         for e in range(most + 1):

@@ -168,6 +168,7 @@ class Names:
     longest: int = 1  # words of the longest name
     memo: dict = field(default_factory=dict)
     found: dict = field(default_factory=dict)
+    read: dict = field(default_factory=dict)
     places: dict = field(default_factory=dict)
 
     @classmethod
@@ -221,6 +222,7 @@ class Names:
         if len(self.memo) > 300_000:
             self.memo.clear()
             self.found.clear()
+            self.read.clear()
             self.places.clear()
         new = sorted((f for f in forms if f not in self.memo), key=lambda f: (len(f), f))
         self.memo.update((f, []) for f in new)
@@ -274,7 +276,16 @@ class Names:
         return out
 
     def runs(self, value: str) -> tuple[list[str], list[tuple[int, int, int, str]]]:
-        """The words of a typed value, and (letters, from, to, joined words) of its runs, longest first."""
+        """The words of a typed value, and (letters, from, to, joined words) of its runs, longest first.
+
+        ``wanted`` and then ``find`` ask for them, so they are kept for the second time.
+        """
+        got = self.read.pop(value, None)
+        if got is None:
+            got = self.read[value] = self._runs(value)
+        return got
+
+    def _runs(self, value: str) -> tuple[list[str], list[tuple[int, int, int, str]]]:
         words = parts(value)
         bare = [w.rstrip(".") for w in words]
         runs = []
@@ -396,7 +407,7 @@ def mapped(proposals: DataFrame, skills: DataFrame, aliases: DataFrame) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            typed = {v for c in ("s", "q", "n") for v in batch[c] if v is not None}
+            typed = {v for c in ("s", "q", "n") for v in batch[c] if v is not None} - known.found.keys()
             known.look_up(set().union(*map(known.wanted, typed)))
             yield batch.assign(skill_id=[known.decide(s, [q, n]) for s, q, n in zip(batch["s"], batch["q"], batch["n"])])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import TOKEN, tokens
-from lexmill.runtime import take_bounded
+from lexmill.runtime import spread, take_bounded
 
 #: Aliases that are sent to every executor, some hundred bytes each; a longer list is joined by shuffle.
 ALIAS_ROWS = 100_000
@@ -70,7 +70,7 @@ def _scan(docs: DataFrame, known: list, pick: Callable, key: str, text: str) ->
             yield pd.DataFrame(rows, columns=[key, "first", "n", "alias", "skill_id"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, first int, n int, alias string, skill_id string")
+    return spread(docs.where(F.col(text).isNotNull()).select(key, text)).mapInPandas(run, f"{key} {kind}, first int, n int, alias string, skill_id string")
 
 
 def _joined(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,7 +126,7 @@ def mentions(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text:
 
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, skill_id string, matched_alias string, start int, end int"
-    return docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)
+    return spread(docs.where(F.col(text).isNotNull()).select(key, text)).mapInPandas(run, schema)
 
 
 def skills(docs: DataFrame, aliases: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:

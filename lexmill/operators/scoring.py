@@ -55,9 +55,11 @@ def passed(found: DataFrame, roles: DataFrame, key: str = "resume_id") -> DataFr
     skills alone. The shuffle of ``skill_sets`` by key serves the whole plan.
     """
     by_skill = roles.where("bucket = 'core'").groupBy("skill_id").agg(F.collect_set("role_id").alias("r"))
-    near = skill_sets(found, key).select(key, "own", F.explode("own").alias("skill_id")).join(small(by_skill, ROLE_ROWS, "roles"), "skill_id")
+    # Neither list has more rows than ``roles``, so one count decides for both.
+    send = F.broadcast if roles.limit(ROLE_ROWS + 1).count() <= ROLE_ROWS else lambda df: df
+    near = skill_sets(found, key).select(key, "own", F.explode("own").alias("skill_id")).join(send(by_skill), "skill_id")
     pairs = near.select(key, "own", F.explode("r").alias("role_id")).groupBy(key, "role_id").agg(F.first("own").alias("own"))
-    return _scored(pairs.join(small(requirements(roles), ROLE_ROWS, "roles"), "role_id"), key).where("passed")
+    return _scored(pairs.join(send(requirements(roles)), "role_id"), key).where("passed")
 
 
 def top_roles(covered: DataFrame, n: int = 5, key: str = "resume_id") -> DataFrame:

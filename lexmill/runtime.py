@@ -73,6 +73,18 @@ def forget(spark: SparkSession) -> int:
     return len(paths)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores where it has parts for half of them at most, as a table of one row group has.
+
+    Only a small input has so few parts; a larger one is left alone, so its rows are not shuffled. A plan that
+    already has a shuffle, and a stream, are left alone too.
+    """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() * 2 <= n else df
+
+
 def take_bounded(df: DataFrame, limit: int, what: str) -> list:
     """All rows of a table that must be small; fails, without dropping any, if it is not."""
     rows = df.limit(limit + 1).collect()

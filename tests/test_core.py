@@ -295,6 +295,16 @@ def test_entry_without_the_corpus_package(monkeypatch):
     assert entry.queries() == catalog.QUERIES and entry.oracle_sql() == catalog.SQL
 
 
+def test_spread(spark, tmp_path):
+    from lexmill.runtime import spread
+
+    texts(spark, ["a", "b", None]).coalesce(1).write.parquet(f"{tmp_path}/t")
+    scan = spark.read.parquet(f"{tmp_path}/t")
+    assert spread(scan).rdd.getNumPartitions() == 4 and sorted(map(str, spread(scan).collect())) == sorted(map(str, scan.collect()))
+    many = spark.range(10).repartition(3)
+    assert spread(many) is many and spread(spark.range(10)).count() == 10
+
+
 def test_shared_folder(spark, tmp_path, monkeypatch):
     from types import SimpleNamespace
 

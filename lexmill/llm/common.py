@@ -1,5 +1,5 @@
 """What the corpus operators share with the core: tables, durable results, size checks."""
 
-from lexmill.runtime import shared_dir, small, table, take_bounded, written
+from lexmill.runtime import shared_dir, small, spread, table, take_bounded, written
 
-__all__ = ["shared_dir", "small", "table", "take_bounded", "written"]
+__all__ = ["shared_dir", "small", "spread", "table", "take_bounded", "written"]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import charset as C
-from lexmill.llm.common import take_bounded, written
+from lexmill.llm.common import spread, take_bounded, written
 
 #: Upper bound of summed statistics: pairs of characters of the known code pages, and channels.
 MAX_STATISTICS = 2_000_000
@@ -30,7 +30,7 @@ COUNTS = "kind string, a string, b string, v double"
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) of all words with a character that plain English text lacks."""
     words = F.explode(F.regexp_extract_all(F.col(text), F.lit(C.WORD), F.lit(0)))
-    return df.where(F.col(text).rlike(C.SUSPECT)).select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return spread(df.select(text)).where(F.col(text).rlike(C.SUSPECT)).select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _summed(df: DataFrame) -> dict:
@@ -144,7 +144,7 @@ def repair(df: DataFrame, model: C.Model, key: str = "resume_id", text: str = "t
 
     keys = dict(df.dtypes)[key]
     suspects = df.where(F.col(text).rlike(C.SUSPECT)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = suspects.mapInPandas(run, f"k {keys}, n_garbled int, n_lost int, channel string, restored string")
+    out = spread(suspects).mapInPandas(run, f"k {keys}, n_garbled int, n_lost int, channel string, restored string")
     return out.withColumnRenamed("k", key)
 
 

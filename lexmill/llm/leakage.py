@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small
+from lexmill.llm.common import small, spread
 
 #: Words of the items that one block may have; a larger set of items takes more scans.
 BLOCK_WORDS = 400_000
@@ -354,7 +354,7 @@ def leaked(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), key: str = "d
     """
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item]
     schema = f"k {kinds[0]}, i {kinds[1]}, n_words int, n_wrong int"
-    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(docs.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")))
     found = [rows.mapInPandas(_scan(block, rule), schema) for block in blocks(passages(items, item, item_text))]
     if not found:
         found = [rows.sparkSession.createDataFrame([], schema)]

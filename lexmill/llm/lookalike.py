@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import spread
+
 # Letters that are drawn like a Latin one, alone or inside a Latin word ...
 STRICT = (
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονАВЕЗКМНОРСТУХІЅЈҮаеорсухіѕјԁһԛԝӏ",
@@ -240,5 +242,5 @@ def unified(df: DataFrame, key: str, text: str, only_changed: bool = False) -> D
             out = pa.RecordBatch.from_arrays([batch.column(0), fixed, pa.array(touched)], ["k", "t", "changed"])
             yield out.filter(out.column(2)) if only_changed else out
 
-    out = rows.mapInArrow(run, f"k {kinds[key]}, t string, changed boolean")
+    out = spread(rows).mapInArrow(run, f"k {kinds[key]}, t string, changed boolean")
     return out.withColumnsRenamed({"k": key, "t": text})

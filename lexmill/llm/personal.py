@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import lookalike
+from lexmill.llm.common import spread
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 THRESHOLD = 0.5
@@ -436,7 +437,7 @@ def findings(df: DataFrame, key: str = "resume_id", text: str = "text") -> DataF
 
     kind = dict(df.dtypes)[key]
     rows = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = rows.mapInPandas(run, f"k {kind}, kind string, value string, start_pos int, end_pos int")
+    out = spread(rows).mapInPandas(run, f"k {kind}, kind string, value string, start_pos int, end_pos int")
     return out.withColumnRenamed("k", key)
 
 
@@ -459,5 +460,5 @@ def redacted(df: DataFrame, key: str = "resume_id", text: str = "text") -> DataF
 
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = rows.mapInPandas(run, f"k {kind}, t string, n_values int")
+    out = spread(rows).mapInPandas(run, f"k {kind}, t string, n_values int")
     return out.withColumnsRenamed({"k": key, "t": text})

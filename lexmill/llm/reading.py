@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import take_bounded
+from lexmill.llm.common import spread, take_bounded
 
 #: The graded sample is read to the driver; this is the most rows it may have.
 MAX_SAMPLE = 50_000
@@ -130,7 +130,7 @@ def levels(df: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "t
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("g"))
     kind = dict(df.dtypes)[key]
-    out = rows.mapInPandas(run, f"k {kind}, score double, known double")
+    out = spread(rows).mapInPandas(run, f"k {kind}, score double, known double")
     grade = F.round("score").cast("int")
     return out.select(F.col("k").alias(key), grade.alias("level"), "score", "known")
 

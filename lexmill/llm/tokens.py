@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import spread
+
 #: Fragments of up to this many bytes are remembered, so many of them at most.
 REMEMBERED_BYTES, REMEMBERED = 48, 400_000
 
@@ -113,4 +115,4 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return spread(rows).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)

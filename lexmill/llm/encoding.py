@@ -20,17 +20,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import charset as C
-from lexmill.llm.common import spread, take_bounded, written
+from lexmill.llm.common import beyond_ascii, spread, take_bounded, written
 
 #: Upper bound of summed statistics: pairs of characters of the known code pages, and channels.
 MAX_STATISTICS = 2_000_000
 COUNTS = "kind string, a string, b string, v double"
 
 
+#: Different words that a worker counts before it hands them on.
+MOST_WORDS = 200_000
+
+
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) of all words with a character that plain English text lacks."""
-    words = F.explode(F.regexp_extract_all(F.col(text), F.lit(C.WORD), F.lit(0)))
-    return spread(df.select(text)).where(F.col(text).rlike(C.SUSPECT)).select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    texts = spread(df.select(F.col(text).alias("t"))).where(beyond_ascii(F.col("t")))
+    return texts.mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of a part, each with its number; one that was handed on may come again."""
+    word, suspect = re.compile(C.WORD), re.compile(C.SUSPECT)
+    counts: Counter = Counter()
+    for batch in batches:
+        for t in batch["t"]:
+            if suspect.search(t):
+                counts.update(word.findall(t))
+                if len(counts) > MOST_WORDS:
+                    yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                    counts.clear()
+    yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
 
 def _summed(df: DataFrame) -> dict:
@@ -102,7 +120,7 @@ def repair(df: DataFrame, model: C.Model, key: str = "resume_id", text: str = "t
     ``restored`` has each garbled word replaced by its most likely reading; a word whose
     characters were lost (U+FFFD) stays as it is. Other columns of ``df`` are not read.
     """
-    word = re.compile(C.WORD)
+    word, suspect = re.compile(C.WORD), re.compile(C.SUSPECT)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -118,6 +136,8 @@ def repair(df: DataFrame, model: C.Model, key: str = "resume_id", text: str = "t
         for batch in batches:
             rows = []
             for k, t in zip(batch["k"], batch["t"]):
+                if not suspect.search(t):
+                    continue
                 words = word.findall(t)
                 found = C.posteriors(words, model, memo)
                 fixes, lost, seen, odd = {}, 0, Counter(), []
@@ -143,7 +163,7 @@ def repair(df: DataFrame, model: C.Model, key: str = "resume_id", text: str = "t
             yield pd.DataFrame(rows, columns=["k", "n_garbled", "n_lost", "channel", "restored"])
 
     keys = dict(df.dtypes)[key]
-    suspects = df.where(F.col(text).rlike(C.SUSPECT)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    suspects = df.where(beyond_ascii(F.col(text))).select(F.col(key).alias("k"), F.col(text).alias("t"))
     out = spread(suspects).mapInPandas(run, f"k {keys}, n_garbled int, n_lost int, channel string, restored string")
     return out.withColumnRenamed("k", key)
 

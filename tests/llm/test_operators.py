@@ -1,13 +1,17 @@
 """Each corpus operator against brute force, a round trip or stated cases; nulls, blanks, ties, empty tables, odd columns."""
 
+import collections
 import itertools
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from lexmill.llm import charset, copies, encoding, leakage, lookalike, mapping, packing, personal, reading, tokens
+from lexmill.llm.common import beyond_ascii
 
 TEXTS = "resume_id string, category string, text string, k string, t string"
 
@@ -54,6 +58,30 @@ def test_unknown_page_is_learned_and_restored(spark):
     assert encoding.garbled(frame(spark, CLEAN * 3)).count() == 0
 
 
+def test_unusual_words_are_counted_without_a_pattern_in_the_jvm(spark, monkeypatch):
+    """Java's patterns took most of p1's time; the counts and the texts looked at are those of the patterns."""
+    odd = ["a\u0085b c", "• – —", "•é• x—y", "\U0001f600 \U00010400z", "\x7f~\x80", "\ufffdé\u00a0é", "tab\té\r\né é", "plain", "é" * 5000]
+    texts = CLEAN * 3 + odd
+    df = frame(spark, texts)
+    want = collections.Counter(w for t in texts if t for w in re.findall(charset.WORD, t))
+    counts = encoding.word_counts(df, "text")
+    assert {r.word: r.n for r in counts.collect()} == want
+    assert encoding.word_counts(frame(spark, [None, "", "plain"]), "text").count() == 0
+    looked_at = {r.t for r in df.where(beyond_ascii(df.text)).select(df.text.alias("t")).collect()}
+    assert looked_at == {t for t in texts if t and not t.isascii()}
+    broken = spark.sql("SELECT CAST(unhex(h) AS STRING) AS t FROM VALUES ('6180'), ('61C3'), ('6162') AS v(h)")
+    assert broken.where(beyond_ascii(broken.t)).count() == 2
+    for plan in (counts, encoding.repair(df, charset.first_model({}))):
+        said = plan._jdf.queryExecution().executedPlan().toString().lower()
+        assert "rlike" not in said and "regexp" not in said
+    monkeypatch.setattr(encoding, "MOST_WORDS", 2)  # what is handed on early is not lost
+    total = collections.Counter()
+    for part in encoding._count(iter([pd.DataFrame({"t": [t for t in texts if t]})])):
+        for w, n in zip(part["word"], part["n"]):
+            total[w] += n
+    assert total == want
+
+
 def test_channel_tables_round_trip():
     for page in charset.PAGES:
         for b in range(256):

@@ -9,6 +9,7 @@ in Latin text. No Python call is made per row.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import spread
+from lexmill.llm.common import beyond_ascii, spread
 
 # Letters that are drawn like a Latin one, alone or inside a Latin word ...
 STRICT = (
@@ -31,6 +32,8 @@ LOOSE = ("αγικρτυχωкмнтгпивоԍɡɑ", "ayikptuxwkmhtrnubogga")
 #: Characters that never are a case; a text of only these is not looked at.
 HARMLESS = "\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u0131\\u0134-\\u0148\\u014a-\\u017f•–—‘’“”„…€™"
 SUSPECT = f"[^{HARMLESS}]"
+#: A text of nothing else, as Arrow writes patterns; bytes that are no UTF-8 do not match.
+ONLY_HARMLESS = r"\A[" + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", HARMLESS) + r"]*\z"
 FOLDED_TAGS = ("<font>", "<wide>", "<narrow>", "<circle>", "<initial>", "<medial>", "<final>", "<isolated>")
 LETTER, ALIKE, LOOSELY, OTHER = 1, 2, 3, 4
 
@@ -226,16 +229,20 @@ def unified(df: DataFrame, key: str, text: str, only_changed: bool = False) -> D
     """(key, text, changed) with the text in one consistent form.
 
     A null text stays null and is never changed; other columns are not read; repeated rows each
-    give their own. With ``only_changed`` just the rows with a stand-in character come out, and
-    texts that can't have one do not leave the JVM.
+    give their own. With ``only_changed`` just the rows with a stand-in character come out; texts
+    of ASCII do not leave the JVM, and one pattern over a batch leaves out others that can't have one.
     """
     kinds = dict(df.dtypes)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     if only_changed:
-        rows = rows.where(F.col("t").rlike(SUSPECT))
+        rows = rows.where(beyond_ascii(F.col("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only_changed:
+                batch = batch.filter(pc.invert(pc.match_substring_regex(batch.column(1), ONLY_HARMLESS)))
+                if not batch.num_rows:
+                    continue
             column = batch.column(1)
             fixed, touched = unify(pc.fill_null(column, ""))
             fixed = pc.if_else(pc.is_valid(column), fixed, pa.scalar(None, pa.large_string())).cast(pa.string())
